@@ -5,17 +5,19 @@ from __future__ import annotations
 from fathom.llm.chat import chat
 from fathom.llm.decontaminate import SQL as OP8_SQL
 from fathom.llm.decontaminate import decontaminate
+from fathom.llm.language_id import language_id
 from fathom.llm.licenses import licenses
 from fathom.llm.neardup import neardup
 from fathom.llm.packed_ids import packed_ids
 from fathom.llm.packing import packing
+from fathom.llm.quality_model import quality_model
 from fathom.llm.quality_rules import SQL as OP5_SQL
 from fathom.llm.quality_rules import quality_rules
 from fathom.llm.warc import warc
 
 
 def queries() -> dict:
-    return {"op1_warc": warc, "op3_packed_ids": packed_ids, "op4_packing": packing, "op5_quality_rules": quality_rules, "op6_licenses": licenses, "op7_chat": chat, "op8_decontaminate": decontaminate, "op9_neardup": neardup}
+    return {"op1_warc": warc, "op2_language_id": language_id, "op3_packed_ids": packed_ids, "op4_packing": packing, "op5_quality_rules": quality_rules, "op6_licenses": licenses, "op7_chat": chat, "op8_decontaminate": decontaminate, "op9_neardup": neardup, "op10_quality_model": quality_model}
 
 
 def oracle_sql() -> dict:
