@@ -15,8 +15,8 @@ in total, and none if the last one's size is a power of two.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
             docs_, sources, raws = (batch.column(c).to_pylist() for c in ("doc_id", "source", "ids"))
             firsts, counts = batch.column("first").to_pylist(), batch.column("n").to_pylist()
             for k, (source, first, n) in enumerate(zip(sources, firsts, counts)):
-                view = memoryview(raws[k])
+                view, wide = memoryview(raws[k]), memoryview(np.frombuffer(raws[k], "<u2").astype("<u4").tobytes())
                 for a, b, phase, lane, lane_at in by_source[source]:
                     low, high = max(a, first), min(b, first + n)
                     if low >= high:
@@ -182,7 +182,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
                     ids, lengths, offsets = windows_of(lane_at + low - a, high - low, phases[phase], lane)
                     start = low - first
                     for w, m, o in zip(ids.tolist(), lengths.tolist(), offsets.tolist()):
-                        rows.append((docs_[k], start, m, n, w, o, source, bytes(view[2 * start : 2 * (start + m)])))
+                        piece = bytes(view[2 * start : 2 * (start + m)]) if with_ids else None
+                        rows.append((docs_[k], start, m, crc32(wide[4 * start : 4 * (start + m)]), n, w, o, source, piece))
                         start += m
                     if len(rows) >= 20_000:
                         yield pieces(rows, batch)
@@ -191,10 +192,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
                 yield pieces(rows, batch)
 
     def pieces(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, start, m, n, w, o, source, raw = zip(*rows)
-        sums = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in raw]
+        doc, start, m, sums, n, w, o, source, raw = zip(*rows)
         whole = lambda x: pa.array(x, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc_id").type), whole(start), whole(m), whole(sums), whole(n), whole(w), whole(o), pa.array(source, pa.string()), pa.array(raw if with_ids else [None] * len(raw), pa.binary())], names=[f.name for f in out.fields])
+        return pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc_id").type), whole(start), whole(m), whole(sums), whole(n), whole(w), whole(o), pa.array(source, pa.string()), pa.array(raw, pa.binary())], names=[f.name for f in out.fields])
 
     whole = T.LongType()
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, whole) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("source", T.StringType()), T.StructField("ids", T.BinaryType())])

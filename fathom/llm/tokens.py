@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 700_000
 BLOCK_PIECES = 2_000
 
 
@@ -54,9 +56,15 @@ class _PieceIds:
     def _resolve(self, lists: list[list[str]]) -> list[bytes]:
         """Joined ids of each list of pieces."""
         found = [list(map(self.cache.get, pieces)) for pieces in lists]
-        unseen = list({p for pieces, got in zip(lists, found) if None in got for p, g in zip(pieces, got) if g is None})
-        fresh = dict(zip(unseen, self._encode(unseen))) if unseen else {}
-        out = [b"".join([fresh[p] if g is None else g for p, g in zip(pieces, got)] if None in got else got) for pieces, got in zip(lists, found)]
+        unseen = [list(compress(pieces, map(not_, got))) for pieces, got in zip(lists, found)]
+        new = list(set().union(*unseen))
+        fresh = dict(zip(new, self._encode(new))) if new else {}
+        out = []
+        for got, pieces in zip(found, unseen):
+            if pieces:
+                more = map(fresh.__getitem__, pieces)
+                got = [g or next(more) for g in got]
+            out.append(b"".join(got))
         if len(self.cache) < CACHE_PIECES:
             self.cache.update(fresh)
         return out
@@ -124,10 +132,13 @@ class WordIds(_PieceIds):
     def _encode(self, pieces: list[str]) -> list[bytes]:
         split: list[tuple[str, str] | None] = []
         for p in pieces:
-            m = self._SIMPLE.fullmatch(p)
+            core, tail = (p[:-1], p[-1]) if p[-1] in ".," else (p, "")
+            if not core.isalpha():
+                m = self._SIMPLE.fullmatch(p)
+                core, tail = m.groups() if m else ("", "")
             # up to U+024F, but for one, letters stay single letters under NFC and lower-casing
-            plain = m and m[1].isalpha() and max(m[1]) < "\u0250" and "\u0130" not in m[1]
-            split.append((m[1], m[2]) if plain else None)
+            plain = core.isascii() and core.isalpha() or core.isalpha() and max(core) < "\u0250" and "\u0130" not in core
+            split.append((core, tail) if plain else None)
         cores = list({s[0] for s in split if s and s[0] not in self.cache})
         known: dict[str, bytes] = {}
         for i in range(0, len(cores), BLOCK_PIECES):
