@@ -5,9 +5,13 @@
    densification).  ``BANDS`` bands of ``ROWS`` bins give the document's buckets.
 2. Documents with the same shingle set are one class; only its smallest doc_id goes on.
 3. In each bucket every class is paired with the smallest one only: a star.  Pairs are confirmed on full sets, and
-   connected components are formed.
-4. What a star can't see, a link between two members whose centre is like neither, can only lie between different
-   components that share a bucket: such pairs, and no pairs within a component, are compared as well.
+   connected components are formed.  The first round looks at ``FIRST_BANDS`` bands, which joins large groups; later
+   rounds look at all bands, but only at buckets that still hold several components, and only across components.
+4. What stars can't see, a link between two members whose centre is like neither, can only lie between different
+   components that share a bucket.  Members of such buckets are joined exactly: each set's shingles are put in one
+   order, rare ones first; two sets of the similarity share a shingle among the first of each (prefix filter), and
+   its places leave room for the overlap needed (positional filter).  Only pairs of different components that pass
+   both are compared.
 
 Two documents at similarity 0.8 share no bucket with probability (1 - 0.8**ROWS)**BANDS, below 1e-4.
 """
@@ -26,6 +30,13 @@ from pyspark.sql import functions as F
 from fathom.llm import store
 
 BANDS, ROWS = 32, 6
+FIRST_BANDS, STAR_ROUNDS = 2, 3
+#: Tables of ids are broadcast up to so many rows (a few tens of MB); beyond, Spark shuffles.
+FEW = 1_000_000
+#: Shingle counts that order the exact join are kept in 2**COUNTER_BITS counters.
+COUNTER_BITS = 20
+#: A centre with more pairs than this is salted.
+HOT = 500
 BINS = 256  # bins made; a power of two, of which BANDS * ROWS are used
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MASK = (1 << 64) - 1
@@ -119,8 +130,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, buckets array<long>"), "signatures")
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has no more than FEW rows."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Written table of id and shingles for the documents that ids names."""
+    """Written table of id and shingles for the documents that the written table ids names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,15 +145,88 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few(ids), "id", "left_semi")
     return store.written(wanted.mapInArrow(run, "id long, shingles array<long>"), "sets")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """Written table of the ids in pairs (a, b)."""
+    return store.written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets have the similarity."""
-    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-    return both.filter(100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    """Written table of those of the written pairs (a, b) whose sets (id, shingles) have the similarity."""
+    salts = store.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")), "salts")
+    left = sets.join(few(salts.select(F.col("a").alias("id"), "salts")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    salted = pairs.join(few(salts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    both = salted.join(right, "b").join(left, ["a", "salt"]).withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    alike = 100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))
+    return store.written(both.filter(alike).select("a", "b").distinct(), "links")
+
+
+def stars(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the smallest member of each bucket that holds several components with those of other components."""
+    open_ = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    heads = nodes.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
+    centres = store.written(open_.select("bucket", "a").join(heads, "a").withColumnRenamed("bucket", "at"), "centres")
+    across = (F.col("bucket") == F.col("at")) & (F.col("component") != F.col("component_a")) & _sizes_allow("size", "size_a", percent)
+    return placed.join(few(centres), across).select("a", F.col("id").alias("b")).distinct()
+
+
+def open_members(placed: DataFrame) -> DataFrame:
+    """Written table of the ids that share a bucket with another component."""
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return store.written(placed.join(few(store.written(open_, "open")), "bucket", "left_semi").select("id").distinct(), "open-ids")
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, by the top COUNTER_BITS bits of their hashes."""
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            counts += np.bincount((flat >> shift).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["at", "n"])
+
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    for batch in sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[batch.column("at").to_numpy()] = batch.column("n").to_numpy()
+    return counts
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """id, size, token and place of the first shingles of each set, rare ones first: enough for the prefix filter."""
+    shift, counts = np.uint64(64 - COUNTER_BITS), shingle_counts(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, tokens, places = [], [], [], []
+            for id_, shingles in zip(batch.column("id").to_pylist(), batch.column("shingles")):
+                s = shingles.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                often = counts[(s >> shift).astype(np.int64)]
+                order = np.lexsort((s, often))[: len(s) - -(-percent * len(s) // 100) + 1]
+                places.append(np.flatnonzero(often[order] > 1))  # a shingle counted once is in no other set
+                tokens.append(s[order[places[-1]]].view(np.int64))
+                ids.append(np.full(len(places[-1]), id_, np.int64))
+                sizes.append(np.full(len(places[-1]), len(s), np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, sizes, tokens, places)], names=["id", "size", "token", "place"])
+
+    return sets.mapInArrow(run, "id long, size long, token long, place long")
+
+
+def crossings(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can have the similarity; none that has it is missing."""
+    table = store.written(prefixes(sets, percent).join(few(nodes.select("id", "component")), "id"), "prefixes")
+    other = table.select(F.col("token").alias("token_b"), *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "place", "component")))
+    room = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    across = (F.col("token") == F.col("token_b")) & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b"))
+    across = across & ((100 + percent) * room >= percent * (F.col("size") + F.col("size_b")))
+    return table.join(other, across).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -172,27 +261,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = signatures(docs, words)
     real = found.filter("same IS NOT NULL AND doc_id IS NOT NULL")
     classes = store.written(real.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets")), "classes")
-    members = store.written(classes.select("id", "size", F.explode("buckets").alias("bucket")).distinct(), "members")
-    centres = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    stars = members.join(centres, "bucket").filter("id <> a").join(classes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a")
-    pairs = store.written(stars.filter(_sizes_allow("size", "size_a", percent)).select("a", F.col("id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    links = store.written(confirmed(pairs, shingle_sets(docs, ids, words), percent), "links")
-    # repeated doc_ids with different texts have several classes under one id
+    members = store.written(classes.select("id", "size", F.posexplode("buckets").alias("band", "bucket")), "members")
+    # repeated doc_ids with different texts have several classes, under one id or linked to another
     twice = real.groupBy("doc_id", "same").agg(F.count("*").alias("n")).join(classes.select("same", "id"), "same").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links = links.union(twice.join(classes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
-    labels = components(links)
-
-    placed = members.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    rest = store.written(placed.join(open_, "bucket", "left_semi"), "rest")
-    other = rest.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "component")))
-    cross = rest.join(other, "bucket").filter("id < id_b AND component <> component_b").filter(_sizes_allow("size", "size_b", percent)).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = store.written(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
-    ids = more.select(F.col("a").alias("id")).union(more.select(F.col("b").alias("id"))).distinct()
-    new = store.written(confirmed(more, shingle_sets(docs, ids, words), percent), "links")
-    if new.limit(1).count():
-        labels = components(links.union(new))
+    links = store.written(twice.join(classes.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"), "links")
+    tested = links.limit(0)
+    labels = components(links) if links.limit(1).count() else None
+
+    for k in range(STAR_ROUNDS + 1):
+        nodes, placed = classes.select("id", "size").distinct(), members
+        if labels is None:
+            nodes, placed = nodes.withColumn("component", F.col("id")), placed.withColumn("component", F.col("id"))
+        else:
+            nodes, placed = (x.join(few(labels), "id", "left").withColumn("component", F.coalesce("component", "id")) for x in (nodes, placed))
+        if k == 0:
+            placed = placed.filter(F.col("band") < FIRST_BANDS)
+        if k == STAR_ROUNDS:
+            sets = shingle_sets(docs, open_members(placed), words)
+            pairs = crossings(sets, store.written(nodes, "nodes"), percent)
+        else:
+            pairs = stars(placed, nodes, percent)
+        pairs = store.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        if k < STAR_ROUNDS:
+            sets = shingle_sets(docs, ends_of(pairs), words)
+        new = confirmed(pairs, sets, percent)
+        if new.limit(1).count():
+            links = store.written(links.union(new), "links")
+            labels = components(links)
+        tested = tested.union(pairs)
+    if labels is None:
+        labels = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
     reached = classes.select("same", "id").join(labels, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = found.join(reached, "same", "left")
