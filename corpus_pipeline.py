@@ -20,7 +20,9 @@ from fathom.llm.quality_rules import judge
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality rules keep."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    return judge(docs.select("text", row)).filter("kept").select("row.*")
+    judged = judge(docs.select("text", row))
+    # a filter on kept itself would be written out below the steps that make it, many times over
+    return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).filter("row IS NOT NULL").select("row.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
