@@ -55,6 +55,10 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -127,7 +131,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 keys.append(buckets(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "same", "buckets"])
 
-    return store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, buckets array<long>"), "signatures")
+    return store.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store.tidied(run, forget_words), "doc_id long, n_shingles long, same binary, buckets array<long>"), "signatures")
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few(ids), "id", "left_semi")
-    return store.written(wanted.mapInArrow(run, "id long, shingles array<long>"), "sets")
+    return store.written(wanted.mapInArrow(store.tidied(run, forget_words), "id long, shingles array<long>"), "sets")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["at", "n"])
 
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    for batch in sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for batch in sets.select("shingles").mapInArrow(store.tidied(run, forget_words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[batch.column("at").to_numpy()] = batch.column("n").to_numpy()
     return counts
 
@@ -216,7 +220,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, sizes, tokens, places)], names=["id", "size", "token", "place"])
 
-    return sets.mapInArrow(run, "id long, size long, token long, place long")
+    return sets.mapInArrow(store.tidied(run, forget_words), "id long, size long, token long, place long")
 
 
 def crossings(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

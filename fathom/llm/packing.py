@@ -146,7 +146,7 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    return store.written(columns.mapInArrow(encode, f"doc_id {kind}, source string, shard int, at long, n long, ids binary"), "tokenised")
+    return store.written(columns.mapInArrow(store.tidied(encode), f"doc_id {kind}, source string, shard int, at long, n long, ids binary"), "tokenised")
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = True) -> DataFrame:
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, whole) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), T.StructField("source", T.StringType()), T.StructField("ids", T.BinaryType())])
     before = sums.select(F.col("source").alias("s"), F.col("shard").alias("k"), "before")
     placed = table.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
-    return placed.select("doc_id", "source", "n", "ids", (F.col("before") + F.col("at")).alias("first")).mapInArrow(place, out)
+    return placed.select("doc_id", "source", "n", "ids", (F.col("before") + F.col("at")).alias("first")).mapInArrow(store.tidied(place), out)
 
 
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:

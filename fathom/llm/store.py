@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,17 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def tidied(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """run for mapInArrow; at a task's end forget is called and Arrow's unused memory freed, as idle workers stay alive."""
+
+    def then_tidy(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        for f in forget:
+            f()
+        pa.default_memory_pool().release_unused()
+
+    return then_tidy
