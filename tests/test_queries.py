@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from fathom.plans import detections  # noqa: F401  registers its queries
 from fathom.plans.catalog import QUERIES, SQL
 from fathom.streaming.poll import freshness, new_rows, process_available
 
