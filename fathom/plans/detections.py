@@ -23,7 +23,7 @@ def _standard(c: str) -> str:
     return f"CASE WHEN lower({c}) LIKE '%venture%' THEN 'Venture Capital' WHEN lower({c}) LIKE '%private equity%' OR lower({c}) LIKE '%buyout%' THEN 'Private Equity' WHEN lower({c}) LIKE '%hedge%' THEN 'Hedge Fund' WHEN lower({c}) LIKE '%real estate%' THEN 'Real Estate' WHEN lower({c}) LIKE '%securitized%' THEN 'Securitized Asset' WHEN lower({c}) LIKE '%other%' THEN 'Other' ELSE {c} END"
 
 
-_OVERDUE = f"""late AS (SELECT adviser_entity_crd AS crd, max(latest_adv_year) AS latest_year FROM matches WHERE adviser_entity_crd IS NOT NULL GROUP BY 1 HAVING max(latest_adv_year) < {DUE}),
+_OVERDUE = f"""late AS (SELECT adviser_entity_crd AS crd, max(latest_adv_year) AS latest_year FROM matches WHERE adviser_entity_crd IS NOT NULL GROUP BY 1 HAVING max(latest_adv_year) < {DUE + 1}),
 overdue AS (SELECT crd, latest_year, count_if(year({_DAY}) > latest_year)::BIGINT AS n_later, 'high' AS severity FROM late JOIN matches m ON m.adviser_entity_crd = crd JOIN filings USING (accessionnumber) GROUP BY 1, 2)"""
 _KINDS = f"""kinds AS (SELECT fund_id, accessionnumber, {_standard('fund_type')} AS adv_type, {_standard('investmentfundtype')} AS filed_type, 'medium' AS severity
 FROM matches WHERE fund_type <> '' AND investmentfundtype <> '' AND NOT list_has_any(list_filter({_family('fund_type')}, lambda x: x IS NOT NULL), list_filter({_family('investmentfundtype')}, lambda x: x IS NOT NULL)) AND lower(trim(fund_type)) <> lower(trim(investmentfundtype)))"""
@@ -33,7 +33,7 @@ WHERE adviser_entity_crd IS NOT NULL AND year({_DAY}) < {DUE} AND accessionnumbe
 
 @query("de02_overdue_amendments")
 def de02(spark, d):
-    return detectors.overdue_amendments(matches(spark, d), table(spark, d, "filings"), DUE)
+    return detectors.overdue_amendments(matches(spark, d), table(spark, d, "filings"), DUE + 1)
 
 
 @query("de04_fund_type_mismatch")

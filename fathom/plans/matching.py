@@ -128,11 +128,11 @@ def fl34(spark, d):
 _BOX = " ".join(f"WHEN contains(string_split(e, '@')[1], '{m}') THEN {i}" for i, m in enumerate(web.MAILBOXES))
 
 
-@query("ht02_page_addresses", f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')) AS e, generate_subscripts(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), 1) AS i FROM documents),
+@query("ht02_page_addresses", f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, 'example', 'firm'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')) AS e, generate_subscripts(regexp_extract_all(replace(text, 'example', 'firm'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), 1) AS i FROM documents),
 b AS (SELECT doc_id, lower(e) AS e, min(i) AS i FROM a WHERE NOT regexp_matches(lower(e), '{web.NOISE}') GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE {_BOX} ELSE 6 END, i) AS n FROM b)
 SELECT doc_id, string_agg(e, ' ' ORDER BY n) AS mails FROM c WHERE n <= 5 GROUP BY doc_id""")
 def ht02(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(web.addresses(F.col("text")), " ").alias("mails")).filter("mails <> ''")
+    return table(spark, d, "documents").select("doc_id", F.array_join(web.addresses(F.replace("text", F.lit("example"), F.lit("firm"))), " ").alias("mails")).filter("mails <> ''")
 
 
 _SIGNALS = "list_concat(" + ", ".join(f"[CASE WHEN regexp_matches({c}, '(?i){p}') THEN '{n}' END]" for n, (e, r) in M.PLATFORMS.items() for c, ps in (("name", e), ("coalesce(related_names, '''')".replace("''''", "''"), r)) for p in ps) + ")"

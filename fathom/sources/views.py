@@ -34,7 +34,7 @@ FROM orders JOIN part ON p_partkey = o_orderkey % 150""",
     "names": """
 SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN p_name || ' Capital Management, LLC' WHEN 1 THEN p_name || ' Fund III, L.P.' WHEN 2 THEN p_name || ' Vehicle 7, a series of ' || replace(p_brand, '#', ' ') || ' Roll Up Vehicles LLC'
        WHEN 3 THEN 'N/A LLC ' || p_name || ' Ltd., ' WHEN 4 THEN p_name || ' Opportunity II LP' WHEN 5 THEN p_name || ' GP, LLC' WHEN 6 THEN upper(p_name) || ' Growth Fund 12' WHEN 7 THEN p_name || ' Partners - Series ' || p_size
-       WHEN 8 THEN 'Fund IV, a series of ' || p_name || ' Advisors Limited' WHEN 9 THEN p_name || ' II Ventures IV Holdings L.L.C.' WHEN 10 THEN 'The ' || p_name || ' Global Master' WHEN 11 THEN p_name || ' (Cayman) Partners-Two, Incorporated' WHEN 12 THEN p_name ELSE 'N/A' END AS name,
+       WHEN 8 THEN 'Fund IV, a series of ' || p_name || ' Advisors Limited' WHEN 9 THEN p_name || ' II Ventures IV Holdings L.L.C.' WHEN 10 THEN 'The ' || p_name || ' Global Master' WHEN 11 THEN p_name || ' (Cayman) Partners-Two, Incorporated' WHEN 12 THEN p_name || ' ' || replace(p_brand, '#', ' ') ELSE 'N/A' END AS name,
        CASE o_orderkey % 6 WHEN 0 THEN 'Ann Lee | Bob Lee' WHEN 1 THEN p_name || ' Management LLC | Carl Dow' WHEN 2 THEN 'Belltower Fund | Eve Fox' WHEN 3 THEN 'Dan Orr | Sydecar LLC | Al Orr LLC' WHEN 4 THEN 'Al | Kim Poe | Jo Zed | Max Zed | Ida Zed' END AS related_names,
        CASE o_orderkey % 5 WHEN 0 THEN 'Executive Officer | Director' WHEN 1 THEN 'Shareholder | Promoter' WHEN 2 THEN 'Trustee, Member | ' WHEN 3 THEN '' END AS related_roles,
        CASE o_orderkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'Cayman Islands' WHEN 2 THEN 'usa' END AS place
