@@ -54,7 +54,7 @@ def commonest(values: Column) -> Column:
 
 def principals(related: Column, roles: Column) -> Column:
     """Names of three characters or more whose role is one of ROLES or isn't said; an empty list for none."""
-    trimmed = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim)
+    trimmed = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x))  # noqa: E731  F.trim itself would get the index too
     both = F.arrays_zip(trimmed(related).alias("name"), trimmed(roles).alias("role"))
     kept = F.filter(both, lambda x: (F.length(x["name"]) >= 3) & (F.coalesce(F.trim(F.regexp_replace(x["role"], "[,;]", "")), F.lit("")).isin("") | F.upper(x["role"]).rlike(ROLES)))
     return F.transform(kept, lambda x: x["name"])
@@ -79,7 +79,7 @@ def manager_candidates(filings: DataFrame) -> DataFrame:
 def exemption_tags(place: Column, related: Column) -> Column:
     """Sorted tags for review: a place abroad, and two of at most four related persons with one surname."""
     abroad = F.coalesce(~F.upper(F.trim(place)).isin("", *HOME), F.lit(False))
-    people = F.filter(F.transform(F.split(F.coalesce(related, F.lit("")), r"\|"), F.trim), lambda p: p != "")
+    people = F.filter(F.transform(F.split(F.coalesce(related, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda p: p != "")
     last = F.transform(people, lambda p: F.upper(F.element_at(F.split(F.trim(F.regexp_replace(p, rf"(?i)[,.]?\s*({ENDINGS})\.?\s*$", "")), r"[\s,]+"), -1)))
     last = F.filter(last, lambda s: (F.length(s) >= 3) & ~s.rlike(rf"^({ENDINGS}|CO)$"))
     family = (F.size(people) <= 4) & (F.size(F.array_distinct(last)) < F.size(last))
