@@ -3,8 +3,8 @@
 Of the hashes of all runs of ``K`` words, the smallest of every ``WINDOW - K + 1`` consecutive ones is a
 fingerprint, so any span of ``WINDOW`` words shares one with its copy.  Distinct fingerprints of documents meet
 those of the benchmark; only documents with a hit go on.  There the hits are extended: each document window that
-is also an item window covers its words.  Items below ``WINDOW`` words are one window of their own length; those
-below ``K`` words have no run, so documents' runs of just those lengths are looked up as well.
+is also an item window covers its words.  Items below ``WINDOW`` words are one window of their own length, which
+may hold no fingerprint of a document, so documents' runs of just those lengths are looked up as well.
 """
 
 from __future__ import annotations
@@ -137,9 +137,9 @@ def matched_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = docs.select("doc_id", text_key().alias("_t"), hashes_of(words_in(F.col("text"))).alias("_h"))
 
     looked = [fingerprints(hashed, "_h", "_f").select("doc_id", "_t", F.explode_outer("_f").alias("f"))]
-    small = tuple(n for n in lengths if n < K)
-    if small:  # items with too few words for a run
-        short = windows.filter(F.col("n") < K).select(F.col("h").alias("f"))
+    small = tuple(n for n in lengths if n < WINDOW)
+    if small:  # items with too few words for a sure fingerprint
+        short = windows.filter(F.col("n") < WINDOW).select(F.col("h").alias("f"))
         prints = prints.union(short).distinct()
         frame = runs(hashed, "_h", small, "h")
         looked += [frame.select("doc_id", "_t", F.explode_outer(F.array_distinct(f"h{n}")).alias("f")) for n in small]

@@ -177,6 +177,16 @@ def test_contamination(spark, odd):
     assert decontaminate.contamination(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    rng = random.Random(5)
+    items = [" ".join(f"i{n}x{k}w{j}" for j in range(n)) for n in range(4, 10) for k in range(5)]
+    texts = [" ".join([*(f"d{rng.random()}" for _ in range(30)), item, *(f"d{rng.random()}" for _ in range(30))]) for item in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs_of(spark, texts).select("doc_id", "text"), bench).collect()}
+    for i, item in enumerate(items):
+        assert (got[i].n_hit, got[i].n_items, got[i].contaminated) == (len(item.split()), 1, True)
+
+
 def brute_components(rows, words):
     sets, parent = {}, {}
     for doc, text in rows:
