@@ -233,25 +233,28 @@ def crossings(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return table.join(other, across).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) for every end of edges (a, b).
 
-    Each round gives every node the smallest label among its neighbours and then that label's own label, so paths
-    are halved.  Tables are written each round; only a count of changes comes to the driver.
+    A label is the id of a node of the same component, never above the node's own.  Each round finds the smallest
+    label among every node's neighbours, gives it to the node and also to the node that its label names (its root),
+    and then takes that label's own label.  So whole trees are hooked at once and paths are halved.  Labels only
+    fall, and the loop ends when none does.  Tables are written each round; only a count of changes comes to the
+    driver.
     """
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("to"))
     both = store.written(ends.union(ends.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct(), "edges")
     labels = store.written(both.groupBy("id").agg(F.least("id", F.min("to")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("to"), "component"), "to").groupBy("id").agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        step = step.join(jump, "low", "left").select("id", F.col("component").alias("old"), F.least("low", "far").alias("component"))
-        step = store.written(step, "labels")
+        step = store.written(labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low")), "near")
+        hooks = step.filter("low < component").groupBy(F.col("component").alias("id")).agg(F.min("low").alias("hook"))
+        step = step.join(hooks, "id", "left").select("id", F.col("component").alias("old"), F.least("low", "hook").alias("low"))
+        jump = step.select(F.col("id").alias("low"), F.col("low").alias("far"))
+        step = store.written(step.join(jump, "low", "left").select("id", "old", F.least("low", "far").alias("component")), "labels")
         labels = step.select("id", "component")
         if not step.filter("old <> component").limit(1).count():
             return labels
-    raise RuntimeError("components have not settled")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -223,6 +223,14 @@ def test_near_duplicates(spark, odd, words):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = list(range(1000))
+    random.Random(6).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (2001, 2002), (2003, 2002)], "a long, b long").repartition(4)
+    got = {r.id: r.component for r in neardup.components(edges).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 2001: 2001, 2002: 2001, 2003: 2001}
+
+
 def test_language_id(spark, odd):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     got = language_id.predict_languages(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
