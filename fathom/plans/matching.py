@@ -78,15 +78,21 @@ _PAIRS = "pairs AS (SELECT x.id, x.name AS a, y.name AS b FROM names x JOIN name
 
 
 def name_pairs(spark, d):
+    """Every name with the names 14 and 1 ids further on."""
     rows = table(spark, d, "names").select("id", F.col("name").alias("b"))
-    ours = rows.filter("id % 3 = 0").withColumnRenamed("b", "a").select("id", "a", F.explode(F.array(F.col("id") + 14, F.col("id") + 1)).alias("other"))
+    ours = rows.withColumnRenamed("b", "a").select("id", "a", F.explode(F.array(F.col("id") + 14, F.col("id") + 1)).alias("other"))
     return ours.join(rows.select(F.col("id").alias("other"), "b"), "other").select("id", "a", "b")
 
 
+def sql_pairs(spark, d):
+    """Those of them that _PAIRS has."""
+    return name_pairs(spark, d).filter("id % 3 = 0")
+
+
 @query("si06_positional", f""", {_PAIRS}, s AS (SELECT id, a, b, greatest(length(a), length(b)) AS n, least(length(a), length(b)) AS m FROM pairs)
 SELECT id, a, b, round(CASE WHEN m::DOUBLE / n < 0.9 THEN 0 ELSE len(list_filter(range(1, m + 1), lambda i: a[i] = b[i]))::DOUBLE / n END, 6) AS similarity FROM s""", "names")
 def si06(spark, d):
-    return name_pairs(spark, d).withColumn("similarity", F.round(N.positional_similarity(F.col("a"), F.col("b")), 6))
+    return sql_pairs(spark, d).withColumn("similarity", F.round(N.positional_similarity(F.col("a"), F.col("b")), 6))
 
 
 _REG = form_sql("{}", "registration")
@@ -100,7 +106,7 @@ SELECT id, a, b, round(CASE WHEN na = '' OR nb = '' THEN 0 WHEN na = nb THEN 1 W
   WHEN len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) IN (len(ta), len(tb)) THEN 0.95 WHEN len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) > 0 AND len(list_intersect(ta, tb))::DOUBLE / greatest(len(ta), len(tb)) >= 0.5 THEN 0.85
   WHEN len(wa) >= 2 AND len(wb) >= 2 AND wa[1:2] = wb[1:2] THEN 0.85 ELSE len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) END, 6) AS score FROM v""", "names")
 def si05(spark, d):
-    return name_pairs(spark, d).withColumn("score", F.round(N.tiered_similarity(F.col("a"), F.col("b")), 6).cast("double"))
+    return sql_pairs(spark, d).withColumn("score", F.round(N.tiered_similarity(F.col("a"), F.col("b")), 6).cast("double"))
 
 
 @query("si04_weighted")

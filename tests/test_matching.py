@@ -5,6 +5,19 @@ from pyspark.sql import functions as F
 from fathom.functions import names as N
 from fathom.functions import web
 from fathom.operators import decisions, matching
+from fathom.plans.catalog import QUERIES
+from fathom.plans.matching import name_pairs
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_every_name_is_paired(spark):
+    n = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
+    pairs = {(i, j) for i in ids for j in (i + 14, i + 1) if j in ids}
+    assert len({i for i, _ in pairs}) > 0.9 * n
+    for rows in (name_pairs(spark, DATA), QUERIES["si04_weighted"](spark, DATA), QUERIES["mx03_gate"](spark, DATA)):
+        assert sorted(r.id for r in rows.select("id").collect()) == sorted(i for i, _ in pairs)
 
 
 def test_gate_and_profiles(spark):
