@@ -1,10 +1,11 @@
 """Operator 6: licence scan with a positional rare-token index.
 
 Templates are licence texts and phrases.  Each template word has an inverse document frequency over the whole
-corpus; a template is indexed by its rarest word, with that word's place in it.  In a file, every occurrence of an
-indexed word proposes the template at one relative position.  A phrase must stand there word by word.  A longer
-text collects the votes of its other rare words at that position and is accepted when its mandatory phrases stand
-within its span and enough of its words do.
+corpus.  A phrase is indexed by its rarest word, with that word's place in it; every occurrence proposes the phrase
+at one relative position, where it must stand word by word.  A longer text is indexed by so many of its rarest words
+that the others aren't enough without one of them; every occurrence proposes the text at the relative positions that
+leave the word within SLACK of its place.  It is accepted at a position where its mandatory phrases stand within its
+span and enough of its words do.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2
 TEXTS = (
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3")),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ("gnu lesser general public license",)),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license", "version 3")),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
@@ -70,20 +75,31 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 class Index:
-    """Postings of the rarest word of each template, and the weights of all template words."""
+    """Postings of the rare words of each template, and the weights of all template words."""
 
     def __init__(self, n: int, frequencies: dict[bytes, int]):
         self.templates = templates()
         self.weight = {w: math.log((n + 1) / (frequencies.get(w, 0) + 1)) + 1 for _, words, _, _ in self.templates for w in words}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.others: dict[int, list[tuple[bytes, int]]] = {}
-        for t, (_, words, _, _) in enumerate(self.templates):
+        self.required = [{w for p in must for w in p} for _, _, must, _ in self.templates]
+        for t, (_, words, _, phrase) in enumerate(self.templates):
             places = sorted(range(len(words)), key=lambda i: (-self.weight[words[i]], i))
-            rarest = words[places[0]]
-            for i, w in enumerate(words):
-                if w == rarest:
-                    self.postings.setdefault(w, []).append((t, i))
             self.others[t] = [(words[i], i) for i in places]
+            for w in {words[places[0]]} if phrase else self._telling(t):
+                self.postings.setdefault(w, []).extend((t, i) for i, x in enumerate(words) if x == w)
+
+    def _telling(self, t: int) -> set[bytes]:
+        """The rarest words of a template; the rest has less than the weight that is enough."""
+        telling: set[bytes] = set()
+        total = left = sum(self.weight[w] for w, _ in self.others[t])
+        for w, _ in self.others[t]:
+            if left < ENOUGH * total * (1 - 1e-9):
+                break
+            if w not in telling:
+                telling.add(w)
+                left -= self.weight[w] * sum(x == w for x, _ in self.others[t])
+        return telling
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """Base places, first and last of them, base labels, all labels, score."""
@@ -91,20 +107,28 @@ class Index:
         base: set[str] = set()
         more: set[str] = set()
         best = 0.0
-        for at in [i for i, w in enumerate(words) if w in self.postings]:
+        seen = set(words)
+        proposed: dict[int, set[int]] = {t: set() for t, r in enumerate(self.required) if r <= seen}
+        for at in [i for i, w in enumerate(words) if w in self.postings] if proposed else ():
             for t, place in self.postings[words[at]]:
-                label, text, must, phrase = self.templates[t]
-                start = at - place
-                if phrase:
-                    if start >= 0 and words[start : start + len(text)] == text:
-                        starts.append(start)
-                        base.add(label)
-                        best = 1.0
+                if t not in proposed:
                     continue
-                share = self._share(words, start, t)
-                if share >= ENOUGH and all(self._has(words, max(0, start - SLACK), start + len(text) + SLACK, p) for p in must):
-                    more.add(label)
-                    best = max(best, share)
+                label, text, _, phrase = self.templates[t]
+                start = at - place
+                if not phrase:
+                    proposed[t].update(range(start - SLACK, start + SLACK + 1))
+                elif start >= 0 and words[start : start + len(text)] == text:
+                    starts.append(start)
+                    base.add(label)
+                    best = 1.0
+        for t, places in proposed.items():
+            label, text, must, _ = self.templates[t]
+            for start in places:
+                if all(self._has(words, max(0, start - SLACK), start + len(text) + SLACK, p) for p in must):
+                    share = self._share(words, start, t)
+                    if share >= ENOUGH:
+                        more.add(label)
+                        best = max(best, share)
         return len(starts), min(starts, default=None), max(starts, default=None), base, base | more, best
 
     def _share(self, words: list[bytes], start: int, t: int) -> float:
@@ -112,8 +136,8 @@ class Index:
         got = total = 0.0
         for w, place in self.others[t]:
             total += self.weight[w]
-            low = max(0, start + place - SLACK)
-            if w in words[low : start + place + SLACK + 1]:
+            low, high = max(0, start + place - SLACK), max(0, start + place + SLACK + 1)
+            if w in words[low:high]:
                 got += self.weight[w]
         return got / total
 

@@ -133,6 +133,26 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_headers(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [header.format("", 3), header.format("", 2), header.format("Lesser ", 2.1), header.format("Affero ", 3), header.format("", 3).split("terms of the ")[1].split(", or")[0], "as published by the Free Software Foundation, GNU General Public License, see version 4 of the Licence"]
+    # each lacks words of its template, and what no text has is its rarest word
+    texts += ["Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following conditions hold", "Permission is hereby granted, free of charge, to any person obtaining a copy of this program and documentation"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["gpl-3", "gpl-2", "lgpl", "agpl-3", "gpl-3", "", "bsd", "mit"]
+
+
+def test_license_index_misses_nothing():
+    rng = random.Random(7)
+    index = licenses.Index(9, {w: rng.randint(0, 9) for _, words, _, _ in licenses.templates() for w in words})
+    for t, (label, words, must, phrase) in enumerate(index.templates):
+        for _ in range(0 if phrase else 40):
+            text = [b"x"] * 9 + [w for w in words for w in ([w] if rng.random() < 0.9 else [] if rng.random() < 0.5 else [w, b"y"])] + [b"x"] * 9
+            inside = lambda s: all(index._has(text, max(0, s - licenses.SLACK), s + len(words) + licenses.SLACK, p) for p in must)  # noqa: B023,E731
+            want = any(index._share(text, s, t) >= licenses.ENOUGH and inside(s) for s in range(-9, len(text)))
+            assert not want or label in index.scan(text)[4]
+
+
 def repeated(words):
     grams = collections.Counter(zip(words, words[1:], words[2:]))
     return len({i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)})
