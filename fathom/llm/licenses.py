@@ -1,43 +1,71 @@
 """Operator 6: licence scan with a positional rare-token index.
 
-Templates are licence texts and phrases.  Each template word has an inverse document frequency over the whole
-corpus.  A phrase is indexed by its rarest word, with that word's place in it; every occurrence proposes the phrase
-at one relative position, where it must stand word by word.  A longer text is indexed by so many of its rarest words
-that the others aren't enough without one of them; every occurrence proposes the text at the relative positions that
-leave the word within SLACK of its place.  It is accepted at a position where its mandatory phrases stand within its
-span and enough of its words do.
+Templates are passages of licence texts: phrases, titles, headers, grants and SPDX lines.  Each template word has an
+inverse document frequency over the whole corpus.  The index holds postings (template, place) of each template's
+rarest words, so many that a text good enough for the template has two of them at least.  A file's highest-IDF
+licence words are looked up; each posting votes for the place where the template would begin, and places where
+postings of two words meet, give or take SLACK, are kept.  There the mandatory phrases must stand within the span, and
+enough of the template's weight at its relative places.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.llm import store
+
 #: Label and phrase.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-#: Further templates: label, words, mandatory phrases.
+_GNU = "gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+#: Label, words and mandatory phrases of passages; {} of _GNU names the licence and the version.
 TEXTS = (
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license", "except in compliance with the license")),
+    ("apache-2", "apache license version 2 0 january 2004", ("apache license version 2 0",)),
     ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3")),
-    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ("gnu lesser general public license",)),
-    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license", ("gnu affero general public license", "version 3")),
+    ("gpl-3", _GNU.format("", "3"), ("gnu general public license", "version 3")),
+    ("gpl-2", _GNU.format("", "2"), ("gnu general public license", "version 2")),
+    ("gpl-3", "gnu general public license version 3 29 june 2007", ("gnu general public license version 3",)),
+    ("gpl-2", "gnu general public license version 2 june 1991", ("gnu general public license version 2",)),
+    ("lgpl", _GNU.format("lesser ", "2 1"), ("gnu lesser general public license",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007", ("gnu lesser general public license version",)),
+    ("agpl-3", _GNU.format("affero ", "3"), ("gnu affero general public license", "version 3")),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007", ("gnu affero general public license version 3",)),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2", "mozilla public license version 2 0", ("mozilla public license version 2",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
+    ("mit", "licensed under the mit license", ("mit license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file", ("bsd style license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization obtaining a copy",)),
+    ("boost-1", "boost software license version 1 0 17 august 2003", ("boost software license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike license", ("creative commons attribution sharealike",)),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license", ("creative commons attribution noncommercial",)),
     ("cc-by", "licensed under a creative commons attribution license", ("creative commons attribution",)),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
+#: Label, and the words of the identifier in a line "SPDX-License-Identifier: ...".
+SPDX = (
+    ("apache-2", "apache 2 0"), ("mit", "mit"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("zlib", "zlib"), ("boost-1", "bsl 1 0"),
+    ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("epl-2", "epl 2 0"),
+    ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+)
 #: A longer text needs this share of its words' weight within its span.
 ENOUGH = 0.6
 #: Words may be missing or added between parts of a longer text.
@@ -53,7 +81,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def templates() -> list[tuple[str, list[bytes], list[list[bytes]], bool]]:
     """(label, words, mandatory phrases, is it a base phrase)."""
-    return [(a, words_of(t), [words_of(t)], True) for a, t in BASE] + [(a, words_of(t), [words_of(p) for p in must], False) for a, t, must in TEXTS]
+    lines = [(a, f"spdx license identifier {t}", (f"spdx license identifier {t}",)) for a, t in SPDX]
+    return [(a, words_of(t), [words_of(t)], True) for a, t in BASE] + [(a, words_of(t), [words_of(p) for p in must], False) for a, t, must in (*TEXTS, *lines)]
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
@@ -69,7 +98,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
                     seen[w] += 1
         yield pa.RecordBatch.from_pydict({"word": [b"", *seen], "n": pa.array([n, *seen.values()], pa.int64())})
 
-    sums = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(store.tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = {bytes(r["word"]): r["n"] for r in sums.collect()}
     return found.pop(b"", 0), found
 
@@ -80,76 +109,101 @@ class Index:
     def __init__(self, n: int, frequencies: dict[bytes, int]):
         self.templates = templates()
         self.weight = {w: math.log((n + 1) / (frequencies.get(w, 0) + 1)) + 1 for _, words, _, _ in self.templates for w in words}
+        self.required = [frozenset(w for p in must for w in p) for _, _, must, _ in self.templates]
+        self.phrases: dict[bytes, list[tuple[int, int]]] = {}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.others: dict[int, list[tuple[bytes, int]]] = {}
-        self.required = [{w for p in must for w in p} for _, _, must, _ in self.templates]
+        #: how many different places of a template must vote for a beginning
+        self.votes = [1] * len(self.templates)
         for t, (_, words, _, phrase) in enumerate(self.templates):
-            places = sorted(range(len(words)), key=lambda i: (-self.weight[words[i]], i))
-            self.others[t] = [(words[i], i) for i in places]
-            for w in {words[places[0]]} if phrase else self._telling(t):
-                self.postings.setdefault(w, []).extend((t, i) for i, x in enumerate(words) if x == w)
-
-    def _telling(self, t: int) -> set[bytes]:
-        """The rarest words of a template; the rest has less than the weight that is enough."""
-        telling: set[bytes] = set()
-        total = left = sum(self.weight[w] for w, _ in self.others[t])
-        for w, _ in self.others[t]:
-            if left < ENOUGH * total * (1 - 1e-9):
-                break
-            if w not in telling:
+            if phrase:
+                place = min(range(len(words)), key=lambda i: (-self.weight[words[i]], i))
+                self.phrases.setdefault(words[place], []).append((t, place))
+                continue
+            telling, self.votes[t] = self._telling(words)
+            for i in telling:
+                self.postings.setdefault(words[i], []).append((t, i))
+
+    def _telling(self, words: list[bytes]) -> tuple[list[int], int]:
+        """A template's rarest places, and how many of them any text that is enough has: two, if any two can tell.
+
+        All places of a word are in or out.  Without the places, and but for the heaviest of them, less than the
+        weight that is enough is left.
+        """
+        weights = [self.weight[w] for w in words]
+        enough, order = ENOUGH * sum(weights) * (1 - 1e-9), sorted(set(words), key=lambda w: (-self.weight[w], w))
+        for votes, spare in ((2, max(weights)), (1, 0.0)):
+            left, telling = sum(weights), set()
+            for w in order:
+                if left + spare < enough:
+                    break
                 telling.add(w)
-                left -= self.weight[w] * sum(x == w for x, _ in self.others[t])
-        return telling
+                left -= self.weight[w] * words.count(w)
+            if left + spare < enough:
+                return [i for i, w in enumerate(words) if w in telling], votes
+        return list(range(len(words))), 1
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """Base places, first and last of them, base labels, all labels, score."""
+        at: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.weight:
+                at.setdefault(w, []).append(i)
         starts: list[int] = []
         base: set[str] = set()
+        for w in at.keys() & self.phrases.keys():
+            for t, place in self.phrases[w]:
+                label, text, _, _ = self.templates[t]
+                if self.required[t] <= at.keys():
+                    found = [i - place for i in at[w] if i >= place and words[i - place : i - place + len(text)] == text]
+                    starts += found
+                    base |= {label} if found else set()
         more: set[str] = set()
-        best = 0.0
-        seen = set(words)
-        proposed: dict[int, set[int]] = {t: set() for t, r in enumerate(self.required) if r <= seen}
-        for at in [i for i, w in enumerate(words) if w in self.postings] if proposed else ():
-            for t, place in self.postings[words[at]]:
-                if t not in proposed:
-                    continue
-                label, text, _, phrase = self.templates[t]
-                start = at - place
-                if not phrase:
-                    proposed[t].update(range(start - SLACK, start + SLACK + 1))
-                elif start >= 0 and words[start : start + len(text)] == text:
-                    starts.append(start)
-                    base.add(label)
-                    best = 1.0
-        for t, places in proposed.items():
+        best = 1.0 if base else 0.0
+        for t, places in self._beginnings(at).items():
             label, text, must, _ = self.templates[t]
             for start in places:
-                if all(self._has(words, max(0, start - SLACK), start + len(text) + SLACK, p) for p in must):
-                    share = self._share(words, start, t)
-                    if share >= ENOUGH:
-                        more.add(label)
-                        best = max(best, share)
+                share = self._share(at, start, t)
+                if share >= ENOUGH and all(self._has(words, at, max(0, start - SLACK), start + len(text) + SLACK, p) for p in must):
+                    more.add(label)
+                    best = max(best, share)
         return len(starts), min(starts, default=None), max(starts, default=None), base, base | more, best
 
-    def _share(self, words: list[bytes], start: int, t: int) -> float:
-        """Share of the template's weight that stands at its relative position, give or take SLACK."""
+    def _beginnings(self, at: dict[bytes, list[int]]) -> dict[int, list[int]]:
+        """For each template that can be there, the beginnings for which enough of its telling places vote."""
+        can = {t for t, needed in enumerate(self.required) if needed <= at.keys()}
+        votes: dict[int, dict[int, set[int]]] = {}
+        for w in sorted(at.keys() & self.postings.keys(), key=lambda w: -self.weight[w]) if can else ():
+            for t, place in self.postings[w]:
+                if t in can:
+                    by_start = votes.setdefault(t, {})
+                    for i in at[w]:
+                        for start in range(i - place - SLACK, i - place + SLACK + 1):
+                            by_start.setdefault(start, set()).add(place)
+        return {t: [s for s, places in by_start.items() if len(places) >= self.votes[t]] for t, by_start in votes.items()}
+
+    def _share(self, at: dict[bytes, list[int]], start: int, t: int) -> float:
+        """Share of the template's weight that stands at its relative places, give or take SLACK."""
         got = total = 0.0
-        for w, place in self.others[t]:
+        for place, w in enumerate(self.templates[t][1]):
             total += self.weight[w]
-            low, high = max(0, start + place - SLACK), max(0, start + place + SLACK + 1)
-            if w in words[low:high]:
+            here = at.get(w, ())
+            k = bisect_left(here, start + place - SLACK)
+            if k < len(here) and here[k] <= start + place + SLACK:
                 got += self.weight[w]
         return got / total
 
     @staticmethod
-    def _has(words: list[bytes], low: int, high: int, phrase: list[bytes]) -> bool:
-        return any(words[i : i + len(phrase)] == phrase for i in range(low, min(high, len(words)) - len(phrase) + 1))
+    def _has(words: list[bytes], at: dict[bytes, list[int]], low: int, high: int, phrase: list[bytes]) -> bool:
+        """True if the phrase stands in words[low:high]."""
+        here = at.get(phrase[0], ())
+        return any(words[i : i + len(phrase)] == phrase for i in here[bisect_left(here, low) : bisect_left(here, high - len(phrase) + 1)])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
 
-    Null texts are empty: no words, no labels (empty strings), score 0.  Equal rows give equal results.
+    Null texts are empty: no words, no labels (empty strings), score 0.  Equal rows give equal results, very long
+    texts are scanned whole, and further columns of any name are ignored.  An empty table gives an empty result.
     """
     index = Index(*document_frequencies(docs))
 
@@ -166,7 +220,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(store.tidied(run), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
