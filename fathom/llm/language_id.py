@@ -1,9 +1,9 @@
 """Operator 2: language identification by sparse multinomial logistic regression.
 
 Features are TF-IDF weights of hashed character n-grams of 1 to 3 letters.  Document frequencies come from every
-training text.  The weights are fitted on a sample, about ``PER_LANG`` texts a language, by
-follow-the-regularised-leader with elastic-net penalties; a part of the sample that is not fitted sets the
-temperature that calibrates the scores.
+training text.  The weights are fitted on a sample, about ``PER_LANG`` texts a language and ``MOST_TEXTS`` in all, of
+the ``MOST_LANGS`` most frequent languages, by follow-the-regularised-leader with elastic-net penalties; a part of the
+sample that is not fitted sets the temperature that calibrates the scores.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from fathom.llm import store
 FEATURES = 1 << 14
 #: Expected number of texts a language in the fitted sample; which ones, a hash of doc_id says.
 PER_LANG = 400
+#: Bounds of the sample: languages that are learned, and texts in all.
+MOST_LANGS, MOST_TEXTS = 256, 20_000
 #: Follow-the-regularised-leader's rates and penalties, and how often it sees the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.01, 4
 #: One in so many texts of the sample sets the temperature.
@@ -29,27 +31,30 @@ CALIBRATE = 5
 _TABLE: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
-    """For each code point, its lower-case letter, or 0 if it is no letter; marks belong to letters."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, its lower-case letter, or 0 if it is neither letter nor mark; and whether it is a letter."""
     if not _TABLE:
-        table = np.zeros(0x110000, np.uint32)
-        table[0x20000:0x32000] = np.arange(0x20000, 0x32000)  # ideographs
-        for i in range(0x20000):
+        table, alone = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
+        for i in range(0x40000):  # there are no letters beyond
             c = chr(i)
-            if c.isalpha() or unicodedata.category(c)[0] == "M":
+            alone[i] = c.isalpha()
+            if alone[i] or unicodedata.category(c)[0] == "M":
                 low = c.lower()
                 table[i] = ord(low) if len(low) == 1 else i
-        _TABLE.append(table)
-    return _TABLE[0]
+        _TABLE.extend((table, alone))
+    return _TABLE[0], _TABLE[1]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Features of a whole text and their counts; None without a letter."""
-    codes = _letters()[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")]
-    if not codes.any():
+    table, alone = _letters()
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+    if not alone[points].any():
         return None
+    codes = table[points]
     gap = codes == 0
-    codes = np.concatenate(([0], codes[~(gap & np.concatenate(([True], gap[:-1])))], [0])).astype(np.uint32)
+    codes = codes[~(gap & np.concatenate((gap[1:], [True])))]  # one of each run of gaps, none at the end
+    codes = np.concatenate(([0][: int(codes[0] > 0)], codes, [0])).astype(np.uint32)
     with np.errstate(over="ignore"):
         one = codes * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) + codes[1:] * np.uint32(0xC2B2AE35)
@@ -69,12 +74,11 @@ def held_out(doc_id: Column) -> Column:
 def training_features(docs: DataFrame) -> tuple[int, np.ndarray, list[tuple[str, np.ndarray, np.ndarray]]]:
     """Number of training texts, documents by feature over all of them, and the sample's (lang, features, counts)."""
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
-    part = F.lit(0.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, min(1.0, PER_LANG / n)).otherwise(part)
+    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    each = min(PER_LANG, MOST_TEXTS // max(1, len(sizes)))
+    part = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"])))) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(1_000_003))
-    rows = train.select("text", "lang", place.alias("place"), (place < part * 1_000_003).alias("sampled"))
+    rows = train.select("text", "lang", place.alias("place"), F.coalesce(place < F.element_at(part, F.col("lang")) * 1_000_003, F.lit(False)).alias("sampled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0, np.zeros(FEATURES, np.int64)
@@ -87,7 +91,7 @@ def training_features(docs: DataFrame) -> tuple[int, np.ndarray, list[tuple[str,
                 total += 1
                 seen[grams[0]] += 1
                 if sampled:
-                    out.append((lang, at, grams[0].tobytes(), np.minimum(grams[1], 65535).astype(np.uint16).tobytes(), 0))
+                    out.append((lang, at, grams[0].tobytes(), grams[1].astype(np.uint32).tobytes(), 0))
             yield table(out)
         yield table([(None, -1, None, seen.tobytes(), total)])
 
@@ -95,7 +99,7 @@ def training_features(docs: DataFrame) -> tuple[int, np.ndarray, list[tuple[str,
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["lang", "place", "features", "counts", "n"])
 
-    made = store.written(rows.mapInArrow(run, "lang string, place long, features binary, counts binary, n long"), "features")
+    made = store.written(rows.mapInArrow(store.tidied(run), "lang string, place long, features binary, counts binary, n long"), "features")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0, np.zeros(FEATURES, np.int64)
@@ -109,7 +113,7 @@ def training_features(docs: DataFrame) -> tuple[int, np.ndarray, list[tuple[str,
     sums = made.filter("features IS NULL").select("lang", "place", "features", "counts", "n").repartition(8).mapInArrow(add, made.schema).collect()
     frequency = sum((np.frombuffer(r["counts"], np.int64) for r in sums), np.zeros(FEATURES, np.int64))
     sample = sorted(made.filter("features IS NOT NULL").collect(), key=lambda r: (r["place"], r["lang"], bytes(r["features"])))
-    return sum(r["n"] for r in sums), frequency, [(r["lang"], np.frombuffer(r["features"], np.uint16), np.frombuffer(r["counts"], np.uint16)) for r in sample]
+    return sum(r["n"] for r in sums), frequency, [(r["lang"], np.frombuffer(r["features"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in sample]
 
 
 class Model:
@@ -175,8 +179,10 @@ class Model:
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs (doc_id, text, lang).
 
-    lang is used only where doc_id isn't held out.  Texts that are null or have no letter are ``und`` with score 0;
-    so are all if there is nothing to learn from.
+    lang is used only where doc_id isn't held out.  Texts that are null or have no letter (marks, digits and emoji
+    are none) are ``und`` with score 0; so are all if there is nothing to learn from.  Very long texts count whole,
+    repeated rows get the same prediction each, further columns of any name are ignored, and an empty table gives an
+    empty result.
     """
     model = Model(*training_features(docs))
 
@@ -186,7 +192,7 @@ def predict_languages(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(store.tidied(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
