@@ -38,6 +38,41 @@ def mixed_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "d-MMM-yyyy"))
 
 
+def filing_date(text: Column) -> Column:
+    """mixed_date; missing and unreadable ones are the first day of 1970."""
+    return F.coalesce(mixed_date(text), F.lit("1970-01-01").cast("date"))
+
+
+def iso_date(text: Column) -> Column:
+    """yyyy-MM-dd of a date in either form; null for none, an empty text and a hyphen; others stay as written."""
+    return F.when(~text.isin("", "-"), F.coalesce(F.date_format(mixed_date(text), "yyyy-MM-dd"), text))
+
+
+def shown_date(text: Column) -> Column:
+    """MM/dd/yyyy of a date in either form, a hyphen for none; others stay as written."""
+    return F.when(text.isNull() | text.isin("", "-"), "-").otherwise(F.coalesce(F.date_format(mixed_date(text), "MM/dd/yyyy"), text))
+
+
+def written_date(text: Column) -> Column:
+    """'Jan 5, 2024' of a date in either form, N/A for none; others stay as written."""
+    return F.when(text.isNull() | (text == ""), "N/A").otherwise(F.coalesce(F.date_format(mixed_date(text), "MMM d, yyyy"), text))
+
+
+def year_in(text: Column) -> Column:
+    """The first year of the 20th or 21st century that a text names."""
+    return F.regexp_extract(text, r"\b(19\d{2}|20\d{2})\b", 1).try_cast("int")
+
+
+def leading_number(text: Column) -> Column:
+    """The number that a text begins with, as written; null if there is none."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d*\.?\d+)", 1).try_cast("double")
+
+
+def dollars(text: Column) -> Column:
+    """The whole dollars of a text; null for none."""
+    return F.regexp_extract(F.regexp_replace(text, "[$,\\s]", ""), r"^([+-]?\d+)", 1).try_cast("long")
+
+
 def is_yes(flag: Column) -> Column:
     """Y, true, t and 1 in any case; a null is no yes."""
     return F.coalesce(F.lower(F.trim(flag)).isin("y", "true", "t", "1"), F.lit(False))

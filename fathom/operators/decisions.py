@@ -1,6 +1,6 @@
 """Decisions on what was found about a firm: evidence rows in, one decision for each firm and field out.
 
-Evidence: id, type, value, source, strength, anchor, place (its order).  Firms: id, name, website.  A decision has
+Evidence: id, type, value, source, strength, anchor, place (its order).  Firms: id, name, website, crd.  A decision has
 status (verified, candidate, rejected), value and reason; a firm without evidence has none, or no_data in statuses().
 """
 
@@ -14,17 +14,21 @@ from fathom.functions import names as N
 from fathom.functions import text as T
 from fathom.functions import web
 
+#: Beginnings of anchors and sources, and reasons, as records hold them.
+REGISTER, LISTED = "sec_adv_crd:", "external_db:"
+NO_SITE, NO_PAGE = "no_distinctive_token_match", "slug_no_distinctive_token"
+SEARCHED, UNSEARCHED, CONTACT = "linkedin_search_with_anchor", "unanchored_linkedin_search_no_firm_match", "external_db_contact"
 #: What isn't a person's name.
 NOT_A_PERSON = r"(?i)\b(LLC|LP|Inc|Corp|Ltd|Fund|Trust|Foundation)\b"
 
 
-def _first(rows: DataFrame, verdict: Column, *order: str) -> DataFrame:
-    """Each id's first row with a verdict, else a rejection."""
+def _first(rows: DataFrame, verdict: Column, rejected: str, *order: str) -> DataFrame:
+    """Each id's first row with a verdict, else a rejection for the reason given."""
     judged = rows.withColumn("_v", verdict)
     by = F.struct(*order)
     hit = F.min_by(F.struct("_v.status", "value", "_v.reason"), F.when(F.col("_v").isNotNull(), by))
     out = judged.groupBy("id").agg(hit.alias("d"))
-    return out.select("id", F.coalesce("d.status", F.lit("rejected")).alias("status"), F.col("d.value").alias("value"), F.coalesce("d.reason", F.lit("no_distinctive_token")).alias("reason"))
+    return out.select("id", F.coalesce("d.status", F.lit("rejected")).alias("status"), F.col("d.value").alias("value"), F.coalesce("d.reason", F.lit(rejected)).alias("reason"))
 
 
 def _said(status: str, reason: Column | str) -> Column:
@@ -37,14 +41,14 @@ def _named(words: Column, place: Column) -> Column:
 
 def websites(evidence: DataFrame, firms: DataFrame) -> DataFrame:
     """The strongest evidence that a register anchors is verified; a domain with a word of the firm's name is a candidate."""
-    rows = evidence.filter("type = 'website_url'").join(firms.select("id", "name", "website"), "id", "left")
+    rows = evidence.filter("type = 'website_url'").join(firms.select("id", "name", "website", F.col("crd").cast("string").alias("crd")), "id", "left")
     host = T.hostname(F.col("value"))
-    anchored = F.coalesce(F.col("anchor").startswith("register:"), F.lit(False))
-    anchor = F.when(anchored, F.col("anchor")).otherwise("register:site")
+    anchored = F.coalesce(F.col("anchor").startswith(REGISTER), F.lit(False))
+    anchor = F.when(anchored, F.col("anchor")).otherwise(F.concat(F.lit(REGISTER), F.coalesce("crd", F.lit("unknown"))))
     verdict = F.when((F.coalesce(host, F.lit("")) != "") & (anchored | web.same_site(F.col("website"), F.col("value"))), _said("verified", F.concat(F.lit("anchored_by:"), anchor)))
     verdict = verdict.when((host != "") & _named(N.site_words(F.col("name")), host), _said("candidate", "distinctive_token_in_domain_no_anchor"))
     rank = F.when(F.col("strength") == "strong", 0).when(F.col("strength") == "medium", 1).when(F.col("strength") == "weak", 2).otherwise(3)
-    return _first(rows.withColumn("_rank", rank), verdict, "_rank", "place")
+    return _first(rows.withColumn("_rank", rank), verdict, NO_SITE, "_rank", "place")
 
 
 def company_pages(evidence: DataFrame, firms: DataFrame, sites: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def company_pages(evidence: DataFrame, firms: DataFrame, sites: DataFrame) -> Da
     named = (slug != "") & _named(words, slug)
     verdict = F.when(linked & sure, _said("verified", "found_on_verified_website")).when(linked, _said("candidate", "website_links_to_linkedin_but_website_not_verified"))
     verdict = verdict.when(sure & named, _said("candidate", "slug_token_match_with_verified_website")).when((slug != "") & (named | (F.size(words) == 0)), _said("candidate", "search_result_candidate"))
-    return _first(rows.withColumn("_rank", F.when(linked, 0).when(sure & named, 1).otherwise(2)), verdict, "_rank", "place")
+    return _first(rows.withColumn("_rank", F.when(linked, 0).when(sure & named, 1).otherwise(2)), verdict, NO_PAGE, "_rank", "place")
 
 
 def emails(evidence: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def emails(evidence: DataFrame) -> DataFrame:
     rows = evidence.filter("type = 'primary_contact_email'")
     there = F.coalesce(F.col("anchor") != "", F.lit(False))
     verdict = F.when(there, _said("verified", F.concat(F.lit("anchored_by:"), F.col("anchor")))).otherwise(_said("candidate", "unanchored_email_candidate"))
-    return _first(rows.withColumn("_rank", F.when(there, 0).otherwise(1)), verdict, "_rank", "place")
+    return _first(rows.withColumn("_rank", F.when(there, 0).otherwise(1)), verdict, NO_SITE, "_rank", "place")
 
 
 def team(evidence: DataFrame, firms: DataFrame, sites: DataFrame, pages: DataFrame) -> DataFrame:
@@ -75,10 +79,10 @@ def team(evidence: DataFrame, firms: DataFrame, sites: DataFrame, pages: DataFra
     sure = is_("site", "verified") | is_("page", "verified")
     says = F.coalesce(_named(N.site_words(F.col("name")), F.lower("title")), F.lit(False))
     on_site, searched = is_("anchor", "found_on_candidate_website"), F.coalesce(F.col("source").contains("linkedin_search"), F.lit(False))
-    listed = F.coalesce(F.col("source").startswith("external_db:"), F.lit(False))
+    listed = F.coalesce(F.col("source").startswith(LISTED), F.lit(False))
     verdict = F.when(on_site & is_("site", "verified"), _said("verified", "on_verified_website")).when(on_site & is_("site", "candidate"), _said("candidate", "on_candidate_website_only")).when(on_site, _said("rejected", "website_not_verified"))
-    verdict = verdict.when(searched & sure & says, _said("candidate", "search_with_anchor")).when(searched, _said("rejected", "unanchored_search_no_firm_match"))
-    verdict = verdict.when(listed, _said("candidate", "listed_contact")).when(sure, _said("candidate", "unanchored_with_context")).otherwise(_said("rejected", "no_anchor_available"))
+    verdict = verdict.when(searched & sure & says, _said("candidate", SEARCHED)).when(searched, _said("rejected", UNSEARCHED))
+    verdict = verdict.when(listed, _said("candidate", CONTACT)).when(sure, _said("candidate", "unanchored_with_context")).otherwise(_said("rejected", "no_anchor_available"))
     return rows.select("id", "value", verdict.alias("_v")).select("id", "_v.status", "value", "_v.reason")
 
 

@@ -236,11 +236,11 @@ def found(spark, d):
 
 
 _SITE_WORDS = f"list_filter(string_split_regex(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 4 AND NOT list_contains({list(N.SITE_GENERIC)}, w))"
-_SITES = f"""e1 AS (SELECT e.*, coalesce(regexp_replace(lower(regexp_extract(value, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', ''), '') AS host, coalesce(regexp_replace(lower(regexp_extract(website, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', ''), '') AS own, {_SITE_WORDS} AS words,
+_SITES = f"""e1 AS (SELECT e.*, f.crd, coalesce(regexp_replace(lower(regexp_extract(value, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', ''), '') AS host, coalesce(regexp_replace(lower(regexp_extract(website, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', ''), '') AS own, {_SITE_WORDS} AS words,
   CASE strength WHEN 'strong' THEN 0 WHEN 'medium' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END AS r FROM evidence e LEFT JOIN firms f ON e.id = f.id WHERE type = 'website_url'),
-e2 AS (SELECT *, CASE WHEN host <> '' AND starts_with(anchor, 'register:') THEN 'anchored_by:' || anchor WHEN host <> '' AND host = own THEN 'anchored_by:register:site' END AS sure, host <> '' AND len(list_filter(words, lambda w: contains(host, w))) > 0 AS maybe FROM e1),
+e2 AS (SELECT *, CASE WHEN host <> '' AND starts_with(anchor, 'sec_adv_crd:') THEN 'anchored_by:' || anchor WHEN host <> '' AND host = own THEN 'anchored_by:sec_adv_crd:' || coalesce(crd::VARCHAR, 'unknown') END AS sure, host <> '' AND len(list_filter(words, lambda w: contains(host, w))) > 0 AS maybe FROM e1),
 e3 AS (SELECT id, arg_min(CASE WHEN sure IS NULL THEN 'candidate' ELSE 'verified' END, r * 100000000 + place) AS status, arg_min(value, r * 100000000 + place) AS value, arg_min(coalesce(sure, 'distinctive_token_in_domain_no_anchor'), r * 100000000 + place) AS reason FROM e2 WHERE sure IS NOT NULL OR maybe GROUP BY id),
-sited AS (SELECT DISTINCT e1.id, coalesce(status, 'rejected') AS status, e3.value AS value, coalesce(reason, 'no_distinctive_token') AS reason FROM e1 LEFT JOIN e3 ON e1.id = e3.id)"""
+sited AS (SELECT DISTINCT e1.id, coalesce(status, 'rejected') AS status, e3.value AS value, coalesce(reason, 'no_distinctive_token_match') AS reason FROM e1 LEFT JOIN e3 ON e1.id = e3.id)"""
 
 
 @query("ru01_websites", f", {_SITES} SELECT * FROM sited", "evidence", "firms")

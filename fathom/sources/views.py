@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.sources.listings import LISTINGS
+
 RECIPES = {
     "advisers": """
 SELECT s_suppkey AS crd,
@@ -45,17 +47,18 @@ SELECT c_custkey AS id, CASE c_custkey % 16 WHEN 0 THEN 'https://www.firm' || c_
        WHEN 11 THEN 'https://linkedin.com/company/Firm-' || c_custkey || '/about' WHEN 12 THEN 'https://firm.io/deck.pptx' WHEN 13 THEN 'HTTPS://FIRM.COM#top' WHEN 14 THEN 'https://firm.com/some/where-rather-deep' END AS url
 FROM customer""",
     "firms": """
-SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'Alpine Capital LLC' WHEN 1 THEN 'Borealis Ventures' ELSE 'Global Fund' END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'https://www.own' || s_suppkey || '.com' END AS website
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 3 THEN s_suppkey END AS crd, CASE s_suppkey % 3 WHEN 0 THEN 'Alpine Capital LLC' WHEN 1 THEN 'Borealis Ventures' ELSE 'Global Fund' END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'https://www.own' || s_suppkey || '.com' END AS website
 FROM supplier""",
     "evidence": """
 SELECT c_custkey % 25 AS id, CASE c_custkey % 4 WHEN 0 THEN 'website_url' WHEN 1 THEN 'linkedin_company_url' WHEN 2 THEN 'primary_contact_email' ELSE 'team_member' END AS type,
        CASE c_custkey % 4 WHEN 0 THEN CASE c_custkey % 3 WHEN 0 THEN 'https://own' || (c_custkey % 25) || '.com/x' WHEN 1 THEN 'https://alpine.example/' ELSE 'junk' END WHEN 1 THEN 'https://linkedin.com/company/' || CASE c_custkey % 3 WHEN 0 THEN 'Alpine-Group' WHEN 1 THEN 'borealis' ELSE 'other' END
          WHEN 2 THEN 'mail' || c_custkey || '@own.com' ELSE CASE c_custkey % 5 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'ann lee' WHEN 2 THEN 'Trust Fund LLC' WHEN 3 THEN 'Carta Desk' ELSE 'Bob Dow' END END AS value,
        CASE c_custkey % 3 WHEN 0 THEN 'linkedin_search' WHEN 1 THEN 'external_db:list' ELSE 'site' END AS source, CASE c_custkey % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'medium' WHEN 2 THEN 'weak' END AS strength,
-       CASE c_custkey % 7 WHEN 0 THEN 'register:' || c_custkey WHEN 1 THEN 'website_links_to_linkedin' WHEN 2 THEN 'found_on_candidate_website' WHEN 3 THEN 'found_on_candidate_website' END AS anchor,
+       CASE c_custkey % 7 WHEN 0 THEN 'sec_adv_crd:' || c_custkey WHEN 1 THEN 'website_links_to_linkedin' WHEN 2 THEN 'found_on_candidate_website' WHEN 3 THEN 'found_on_candidate_website' END AS anchor,
        CASE WHEN c_custkey % 2 = 0 THEN 'Partner at Alpine' END AS title, c_custkey AS place
 FROM customer""",
 }
+RECIPES |= LISTINGS
 _SPARK = {"iso": "date_format(o_orderdate, 'yyyy-MM-dd')", "dmy": "upper(date_format(o_orderdate, 'dd-MMM-yyyy'))"}
 _DUCKDB = {"iso": "strftime(o_orderdate, '%Y-%m-%d')", "dmy": "upper(strftime(o_orderdate, '%d-%b-%Y'))"}
 
@@ -64,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table, or a derived one."""
     if name not in RECIPES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    recipe = RECIPES[name].replace("{iso}", _SPARK["iso"]).replace("{dmy}", _SPARK["dmy"])
+    recipe = RECIPES[name].replace("{iso}", _SPARK["iso"]).replace("{dmy}", _SPARK["dmy"]).replace("{", "{{").replace("}", "}}")
     bases = [t for t in ("supplier", "nation", "part", "lineitem", "orders", "customer") if f"FROM {t}" in recipe or f"JOIN {t}" in recipe]
     return spark.sql(recipe_over(recipe, bases), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in bases})
 

@@ -43,7 +43,7 @@ def test_verdicts(spark):
 
 
 def test_decisions(spark):
-    firms = spark.createDataFrame([(1, "Alpine Capital", "https://alpine.com"), (2, "Borealis Fund", None)], "id int, name string, website string")
+    firms = spark.createDataFrame([(1, "Alpine Capital", "https://alpine.com", 7), (2, "Borealis Fund", None, None)], "id int, name string, website string, crd int")
     rows = [(1, "website_url", "http://www.alpine.com/x", "site", "weak", None, None, 1), (1, "linkedin_company_url", "https://linkedin.com/company/other", "site", None, "website_links_to_linkedin", None, 2), (1, "team_member", "Ann Lee", "site", None, "found_on_candidate_website", None, 3), (1, "team_member", "ann lee ", "external_db:x", None, None, None, 4),
             (2, "website_url", "https://borealis.io", "site", "strong", None, None, 1), (2, "linkedin_company_url", "https://linkedin.com/company/other", "site", None, None, None, 2), (2, "team_member", "Bob Dow", "linkedin_search", None, None, "Partner at Borealis", 3), (2, "team_member", "Trust LLC", "site", None, None, None, 4)]
     evidence = spark.createDataFrame(rows, "id int, type string, value string, source string, strength string, anchor string, title string, place int")
@@ -53,5 +53,9 @@ def test_decisions(spark):
     assert status(sites) == {(1, "http://www.alpine.com/x"): "verified", (2, "https://borealis.io"): "candidate"}
     assert status(pages) == {(1, "https://linkedin.com/company/other"): "verified", (2, None): "rejected"}
     assert status(decisions.team(evidence, firms, sites, pages)) == {(1, "Ann Lee"): "verified", (2, "Bob Dow"): "rejected"}
+    reasons = lambda d: {r.id: r.reason for r in d.collect()}
+    assert reasons(sites) == {1: "anchored_by:sec_adv_crd:7", 2: "distinctive_token_in_domain_no_anchor"}
+    assert reasons(pages) == {1: "found_on_verified_website", 2: "slug_no_distinctive_token"}
+    assert reasons(decisions.team(evidence, firms, sites, pages)) == {1: "on_verified_website", 2: "unanchored_linkedin_search_no_firm_match"}
     view = {r.id: (r.website, r.suppressed) for r in decisions.public_view(firms, sites, pages, decisions.emails(evidence)).collect()}
     assert view == {1: ("http://www.alpine.com/x", False), 2: (None, True)}

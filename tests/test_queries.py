@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from fathom.plans import detections, matching  # noqa: F401  they register their queries
+from fathom.plans import detections, lists, matching  # noqa: F401  they register their queries
 from fathom.plans.catalog import QUERIES, SQL
 from fathom.streaming.poll import freshness, new_rows, process_available
 
