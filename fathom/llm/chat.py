@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.llm import store
+
 #: state -> role -> next state; what has no next state is invalid from there on.
 MACHINE = {
     "start": {"system": "asked", "user": "answering"},
@@ -104,7 +106,7 @@ def format_chat(turns: DataFrame, template: Template = Template()) -> DataFrame:
 
     schema = pa.schema([("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("valid", pa.bool_())])
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return grouped.mapInArrow(run, f"conv_id {kind}, formatted string, loss_spans array<struct<from: long, to: long>>, valid boolean")
+    return grouped.mapInArrow(store.tidied(run), f"conv_id {kind}, formatted string, loss_spans array<struct<from: long, to: long>>, valid boolean")
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
@@ -124,7 +126,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column("valid")], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return formatted.mapInArrow(store.tidied(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:

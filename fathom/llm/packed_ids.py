@@ -161,7 +161,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = f"shard int, path string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long, n_tokens long"
-    return store.written(ordered.mapInArrow(write, schema), "manifest")
+    return store.written(ordered.mapInArrow(store.tidied(write, tokens=True), schema), "manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def read_packed(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = manifest.schema["doc_id"].dataType.simpleString()
-    return manifest.select("path", "place", "doc_id", "start").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "place", "doc_id", "start").mapInArrow(store.tidied(read), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

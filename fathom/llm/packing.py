@@ -146,7 +146,7 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    return store.written(columns.mapInArrow(store.tidied(encode), f"doc_id {kind}, source string, shard int, at long, n long, ids binary"), "tokenised")
+    return store.written(columns.mapInArrow(store.tidied(encode, tokens=True), f"doc_id {kind}, source string, shard int, at long, n long, ids binary"), "tokenised")
 
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = True) -> DataFrame:

@@ -49,6 +49,9 @@ class _PieceIds:
         self.dtype = np.dtype(dtype)
         self.cache: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.cache = {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         """Straight from the library."""
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,6 +125,10 @@ class WordIds(_PieceIds):
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self.tails: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        super().forget()
+        self.tails = {"": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # U+001C to U+001F part words for Python only
         odd = [bool(self._ODD.search(t)) for t in texts]
@@ -168,3 +175,9 @@ def encoder(kind: str, path: str, dtype="uint16") -> _PieceIds:
     if key not in _ENCODERS:
         _ENCODERS[key] = {"byte": ByteLevelIds, "word": WordIds}[kind](path, np.dtype(dtype))
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Drops the pieces that this worker's encoders have kept; the encoders stay."""
+    for e in _ENCODERS.values():
+        e.forget()

@@ -104,7 +104,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
             out.close()
             fs.move(f"{root}/{leaf}.part", f"{root}/{leaf}")
 
-    return store.written(first_copies(pages, min_bytes).mapInArrow(write, INDEX), "warc-index")
+    return store.written(first_copies(pages, min_bytes).mapInArrow(store.tidied(write), INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -169,7 +169,7 @@ def read_archive(index: DataFrame, with_payload: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     ordered = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return ordered.mapInArrow(store.tidied(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
