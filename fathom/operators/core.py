@@ -76,11 +76,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
 
 
 def exemption_mismatch(matches: DataFrame, funds: DataFrame, filings: DataFrame) -> DataFrame:
-    """Matches whose two sides name different exclusions; sides that name none are skipped."""
+    """Matches whose two sides differ in either exclusion; a side that names none says no to both."""
     rows = matches.select("fund_id", "accessionnumber").join(funds.select("fund_id", "exclusion_3c1", "exclusion_3c7"), "fund_id").join(filings.select("accessionnumber", "exemptions"), "accessionnumber")
     one, seven = T.is_yes(F.col("exclusion_3c1")), T.is_yes(F.col("exclusion_3c7"))
     rows = rows.select("fund_id", "accessionnumber", one.alias("adv_3c1"), seven.alias("adv_3c7"), T.claims_3c1(F.col("exemptions")).alias("filed_3c1"), T.claims_3c7(F.col("exemptions")).alias("filed_3c7"))
-    return rows.filter("(adv_3c1 OR adv_3c7) AND (filed_3c1 OR filed_3c7) AND (adv_3c1 <> filed_3c1 OR adv_3c7 <> filed_3c7)")
+    return rows.filter("adv_3c1 <> filed_3c1 OR adv_3c7 <> filed_3c7").withColumn("severity", F.lit("high"))
 
 
 def vc_exemption_violation(advisers: DataFrame, funds: DataFrame) -> DataFrame:

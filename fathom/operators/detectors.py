@@ -34,7 +34,7 @@ def missing_funds(funds: DataFrame, filings: DataFrame, matches: DataFrame, befo
     """Unmatched filings of earlier years under a file number that an adviser's fund lists; the smallest crd of each."""
     numbers = funds.select(F.col("adviser_entity_crd").alias("crd"), F.explode(T.listed(F.col("form_d_file_number"))).alias("file_num")).filter("crd IS NOT NULL").distinct()
     left = filings.filter(F.year(T.mixed_date(F.col("filing_date"))) < before_year).join(matches.select("accessionnumber"), "accessionnumber", "left_anti")
-    return left.join(numbers, "file_num").groupBy("accessionnumber").agg(F.min("crd").alias("crd")).withColumn("severity", F.lit("high"))
+    return left.join(numbers, "file_num").groupBy("accessionnumber").agg(F.min("crd").alias("crd")).withColumn("severity", F.lit("medium"))
 
 
 def needs_registration(filings: DataFrame, matches: DataFrame, advisers: DataFrame, blocked: str, as_of: str, months: int = 6, grace: int = 60) -> DataFrame:

@@ -81,7 +81,7 @@ SQL["de06_exemption_mismatch"] = with_views("", *_ALL).rstrip() + "," + _XREF +
 SELECT m.fund_id, accessionnumber, exclusion_3c1 = 'Y' AS adv_3c1, exclusion_3c7 = 'Y' AS adv_3c7,
   coalesce(contains(lower(exemptions), '3c.1') OR (contains(lower(exemptions), '3c') AND NOT contains(lower(exemptions), '3c.7')), false) AS filed_3c1, coalesce(contains(lower(exemptions), '3c.7'), false) AS filed_3c7
 FROM matches m JOIN funds USING (fund_id) JOIN filings USING (accessionnumber))
-SELECT * FROM sides WHERE (adv_3c1 OR adv_3c7) AND (filed_3c1 OR filed_3c7) AND (adv_3c1 <> filed_3c1 OR adv_3c7 <> filed_3c7)"""
+SELECT *, 'high' AS severity FROM sides WHERE adv_3c1 <> filed_3c1 OR adv_3c7 <> filed_3c7"""
 
 
 @query("de03_vc_exemption_violation", """SELECT crd, adviser_name, sum(n)::BIGINT AS n_funds, string_agg(n || ' ' || fund_type, ', ' ORDER BY n || ' ' || fund_type) AS breakdown, 'critical' AS severity

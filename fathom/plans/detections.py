@@ -27,7 +27,7 @@ _OVERDUE = f"""late AS (SELECT adviser_entity_crd AS crd, max(latest_adv_year) A
 overdue AS (SELECT crd, latest_year, count_if(year({_DAY}) > latest_year)::BIGINT AS n_later, 'high' AS severity FROM late JOIN matches m ON m.adviser_entity_crd = crd JOIN filings USING (accessionnumber) GROUP BY 1, 2)"""
 _KINDS = f"""kinds AS (SELECT fund_id, accessionnumber, {_standard('fund_type')} AS adv_type, {_standard('investmentfundtype')} AS filed_type, 'medium' AS severity
 FROM matches WHERE fund_type <> '' AND investmentfundtype <> '' AND NOT list_has_any(list_filter({_family('fund_type')}, lambda x: x IS NOT NULL), list_filter({_family('investmentfundtype')}, lambda x: x IS NOT NULL)) AND lower(trim(fund_type)) <> lower(trim(investmentfundtype)))"""
-_MISSING = f"""missing AS (SELECT accessionnumber, min(adviser_entity_crd) AS crd, 'high' AS severity FROM numbers JOIN funds USING (fund_id) JOIN filings ON trim(raw) = file_num
+_MISSING = f"""missing AS (SELECT accessionnumber, min(adviser_entity_crd) AS crd, 'medium' AS severity FROM numbers JOIN funds USING (fund_id) JOIN filings ON trim(raw) = file_num
 WHERE adviser_entity_crd IS NOT NULL AND year({_DAY}) < {DUE} AND accessionnumber NOT IN (SELECT accessionnumber FROM matches) GROUP BY 1)"""
 
 
@@ -55,7 +55,7 @@ SQL["de02_overdue_amendments"] = f"{_BASE}, {_OVERDUE} SELECT * FROM overdue"
 SQL["de04_fund_type_mismatch"] = f"{_BASE}, {_KINDS} SELECT * FROM kinds"
 SQL["de05_missing_funds"] = f"{_BASE}, {_MISSING} SELECT * FROM missing"
 SQL["de08_all_issues"] = f"""{_BASE}, {_OVERDUE}, {_KINDS}, {_MISSING}
-SELECT 'overdue' AS issue_type, crd::VARCHAR AS subject, severity, 1 AS rank FROM overdue UNION ALL SELECT 'fund_type', accessionnumber, severity, 2 FROM kinds UNION ALL SELECT 'missing_fund', accessionnumber, severity, 1 FROM missing"""
+SELECT 'overdue' AS issue_type, crd::VARCHAR AS subject, severity, 1 AS rank FROM overdue UNION ALL SELECT 'fund_type', accessionnumber, severity, 2 FROM kinds UNION ALL SELECT 'missing_fund', accessionnumber, severity, 2 FROM missing"""
 
 
 @query("de01_needs_registration")
