@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import similar
@@ -83,17 +83,29 @@ def slug_id(slug: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(slug, r"^(\d+)-", 1), F.lit("")), slug)
 
 
-def variants(name: Column, extra: Column | None = None) -> Column:
-    """Ever shorter names, each of three characters or more and once; extra comes second."""
-    plain = normal(name, "stripped")
-    cut = F.trim(F.regexp_replace(plain, rf"(?i)\s+({'|'.join(TAILS)})\s*$", ""))
-    cut = F.when((cut != plain) & (F.length(cut) >= 3), cut)
-    words = F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= 2)
-    first = F.try_element_at(words, F.lit(1))
-    two = F.when(F.size(words) >= 3, F.array_join(F.slice(words, 1, 2), " "))
-    one = F.when((F.size(words) >= 2) & ~F.lower(first).isin(*GENERIC), first)
-    listed = F.array(plain, *([F.trim(extra)] if extra is not None else []), cut, normal(cut, "stripped"), two, one)
-    return F.array_distinct(F.filter(listed, lambda v: F.length(v) >= 3))
+def with_variants(rows: DataFrame, name: str, to: str = "variants", extra: str | None = None) -> DataFrame:
+    """rows with ever shorter forms of a name, each of three characters or more and once; its form ``extra`` comes second.
+
+    Each step is a column of its own, so that none is computed again inside the next.
+    """
+    c = F.col
+    steps = {
+        "_plain": normal(c(name), "stripped"),
+        "_less": F.trim(F.regexp_replace("_plain", rf"(?i)\s+({'|'.join(TAILS)})\s*$", "")),
+        "_cut": F.when((c("_less") != c("_plain")) & (F.length("_less") >= 3), c("_less")),
+        "_again": normal(c("_cut"), "stripped"),
+        "_words": F.filter(F.split("_plain", r"\s+"), lambda w: F.length(w) >= 2),
+        "_extra": F.trim(normal(c(name), extra)) if extra else F.lit(None).cast("string"),
+        "_two": F.when(F.size("_words") >= 3, F.array_join(F.slice("_words", 1, 2), " ")),
+        "_first": F.try_element_at("_words", F.lit(1)),
+        "_one": F.when((F.size("_words") >= 2) & ~F.lower("_first").isin(*GENERIC), c("_first")),
+        "_listed": F.array("_plain", "_extra", "_cut", "_again", "_two", "_one"),
+        to: F.array_distinct(F.filter("_listed", lambda v: F.length(v) >= 3)),
+    }
+    out = rows
+    for step, value in steps.items():
+        out = out.withColumn(step, value)
+    return out.drop(*(step for step in steps if step != to))
 
 
 def words_of(name: Column, least: int = 2, stem_from: int = 4) -> Column:

@@ -121,6 +121,7 @@ def unregistered(filings: DataFrame, matched: DataFrame, advisers: DataFrame, ow
         F.min_by(F.struct("cik", "related_names", "related_roles", "stateorcountry", "platform", "source"), newest).alias("x"),
         F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_date("day")).alias("o"), "id", "entityname"))), lambda f: f["entityname"]), 1, SHOWN).alias("sample"),
     )
+    rolled = rolled.persist()  # the lookups and the result read it
     asked = rolled.select(F.col("manager").alias("key"), F.col("manager").alias("name"), "x.related_names", "x.related_roles")
     known = R.search(asked, advisers, owners).select("key").union(R.by_principals(asked, owners, advisers).select("key")).distinct()
     left = rolled.join(known.withColumnRenamed("key", "manager"), "manager", "left_anti").withColumn("tags", M.exemption_tags(F.col("x.stateorcountry"), F.col("x.related_names")))

@@ -91,8 +91,8 @@ def adviser_matches(managers: DataFrame, advisers: DataFrame) -> DataFrame:
 
     Each variant finds at most one adviser (the smallest key), which counts only if it passes the gate.  Returns id, key, variant, place.
     """
-    tried = F.array_distinct(F.concat(F.array(F.lower("name")), F.transform(N.variants(F.col("name"), N.normal(F.col("name"), "master")), F.lower)))
-    steps = managers.filter("name IS NOT NULL").select("id", F.posexplode(tried).alias("place", "variant"))
+    tried = F.array_distinct(F.concat(F.array(F.lower("name")), F.transform("variants", lambda v: F.lower(v))))
+    steps = N.with_variants(managers.filter("name IS NOT NULL").select("id", "name"), "name", extra="master").select("id", F.posexplode(tried).alias("place", "variant"))
     known = advisers.filter("name IS NOT NULL").select("key", F.col("name").alias("found"), N.words_of(F.col("name")).alias("b"), T.distinctive_tokens(F.col("name")).alias("tokens"))
     exact = steps.join(known.select("key", "found", F.lower("found").alias("variant")), "variant").select("id", "place", "variant", "key", "found", F.lit(0).alias("how"))
     asked = steps.select("id", "place", "variant", N.words_of(F.col("variant")).alias("a"), F.explode(T.distinctive_tokens(F.col("variant"))).alias("token"))

@@ -130,16 +130,16 @@ def lookup(rows: DataFrame, advisers: DataFrame, owners: DataFrame) -> DataFrame
     return best.select("key", "b.hit.crd", "b.hit.adviser_name", F.element_at(F.array(*map(F.lit, WAYS)), F.col("b.way") + 1).alias("source"))
 
 
-def ladder(name: Column, with_base: bool = True) -> Column:
-    """The name and its ever shorter variants, each of three characters or more and once."""
-    listed = N.variants(name, N.normal(name, "base")) if with_base else N.variants(name)
-    return F.array_distinct(F.filter(F.concat(F.array(name), listed) if with_base else listed, lambda v: F.length(v) >= 3))
+def ladder(rows: DataFrame, with_base: bool = True) -> DataFrame:
+    """rows (name and others) once for each ever shorter variant of the name, as place and variant; with_base, the name itself is the first."""
+    listed = N.with_variants(rows.filter("name IS NOT NULL"), "name", extra="base" if with_base else None)
+    tried = F.array_distinct(F.filter(F.concat(F.array("name"), "variants"), lambda v: F.length(v) >= 3)) if with_base else F.col("variants")
+    return listed.select(*rows.columns, F.posexplode(tried).alias("place", "variant"))
 
 
 def search(rows: DataFrame, advisers: DataFrame, owners: DataFrame, with_base: bool = True) -> DataFrame:
     """key, crd, adviser_name, source and variant: the first variant of a name whose lookup passes the gate.  Rows as in lookup."""
-    tries = rows.filter("name IS NOT NULL").select("key", F.posexplode(ladder(F.col("name"), with_base)).alias("place", "name"), "related_names", "related_roles")
-    tries = tries.select(F.struct("key", "place").alias("key"), "name", "related_names", "related_roles")
+    tries = ladder(rows, with_base).select(F.struct("key", "place").alias("key"), F.col("variant").alias("name"), "related_names", "related_roles").persist()  # four lookups read it
     hits = tries.select("key", F.col("name").alias("variant"), "related_names").join(lookup(tries, advisers, owners), "key")
     passed = hits.filter(N.gate_result(F.col("variant"), F.col("adviser_name"), F.col("related_names"))["passes"])
     best = passed.groupBy("key.key").agg(F.min_by(F.struct("crd", "adviser_name", "source", "variant"), "key.place").alias("b"))
@@ -172,7 +172,7 @@ def identities(rows: DataFrame, advisers: DataFrame, owners: DataFrame, investor
     registered = hit.join(sites, "crd", "left").select("key", F.lit("sec_adv_crd").alias("anchor"), F.col("crd").cast("string").alias("crd"), "adviser_name", F.col("site").alias("primary_website"), F.col("variant").alias("matched_variant"))
     known = investors.withColumn("form", N.normal(F.col("investor_name"), "investor")).filter("form <> ''")
     known = newest_per(known, F.col("form"), F.col("investor_name"), F.col("website_url")).select("form", "investor_name", "website_url")
-    rest = rows.filter("name IS NOT NULL").join(registered, "key", "left_anti").select("key", F.posexplode(ladder(F.col("name"), False)).alias("place", "variant"))
+    rest = ladder(rows.join(registered, "key", "left_anti").select("key", "name"), False).select("key", "place", "variant")
     split = F.split(N.normal(F.col("variant"), "investor"), " ")
     prefixes = F.transform(F.sequence(F.least(F.lit(2), F.size(split)), F.size(split)), lambda k: F.array_join(F.slice(split, F.lit(1), k), " "))
     met = rest.select("key", "place", "variant", F.explode(prefixes).alias("form")).join(known, "form")

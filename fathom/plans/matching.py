@@ -49,7 +49,7 @@ ladder AS (SELECT id, name, v, min(k) AS k FROM c WHERE length(v) >= 3 GROUP BY
 
 @query("sf16_name_variants", f", {_LADDER} SELECT id, string_agg(v, '|' ORDER BY k) AS variants FROM ladder GROUP BY id", "names")
 def sf16(spark, d):
-    return table(spark, d, "names").select("id", F.array_join(N.variants(F.col("name"), N.normal(F.col("name"), "master")), "|").alias("variants"))
+    return N.with_variants(table(spark, d, "names").select("id", "name"), "name", extra="master").select("id", F.array_join("variants", "|").alias("variants"))
 
 
 @query("sf20_exemption_labels", f"SELECT id, {form_sql('exemptions', 'exemptions')} AS labels FROM filings", "filings")
