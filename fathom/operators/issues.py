@@ -113,7 +113,7 @@ def unregistered(filings: DataFrame, matched: DataFrame, advisers: DataFrame, ow
     rows = filings.filter("industrygrouptype = 'Pooled Investment Fund' AND isamendment <> 'true' AND cik IS NOT NULL").withColumn("day", day)
     rows = rows.filter((F.col("day") >= F.add_months(now, -months)) & (F.date_diff(now, F.col("day")) > grace)).join(matched.select("accessionnumber"), "accessionnumber", "left_anti")
     who = M.manager_candidates(rows).select("id", F.coalesce(F.nullif("candidate", F.lit("")), F.lit("")).alias("manager"), "source", "platform")
-    rows = rows.join(who, "id").filter("manager <> ''")
+    rows = rows.join(who, "id")
     newest = F.struct(-F.unix_date("day"), F.col("id"))
     amount = F.coalesce(T.leading_number(F.col("totalofferingamount")).cast("decimal(20,2)"), F.lit(0))
     rolled = rows.groupBy("manager").agg(
@@ -121,7 +121,8 @@ def unregistered(filings: DataFrame, matched: DataFrame, advisers: DataFrame, ow
         F.min_by(F.struct("cik", "related_names", "related_roles", "stateorcountry", "platform", "source"), newest).alias("x"),
         F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_date("day")).alias("o"), "id", "entityname"))), lambda f: f["entityname"]), 1, SHOWN).alias("sample"),
     )
-    rolled = rolled.persist()  # the lookups and the result read it
+    # the lookups and the result read it; a filter before would be written out below the steps that make the manager
+    rolled = rolled.persist().filter("manager <> ''")
     asked = rolled.select(F.col("manager").alias("key"), F.col("manager").alias("name"), "x.related_names", "x.related_roles")
     known = R.search(asked, advisers, owners).select("key").union(R.by_principals(asked, owners, advisers).select("key")).distinct()
     left = rolled.join(known.withColumnRenamed("key", "manager"), "manager", "left_anti").withColumn("tags", M.exemption_tags(F.col("x.stateorcountry"), F.col("x.related_names")))
