@@ -172,8 +172,9 @@ def promoter_advisers(filings: DataFrame, advisers: DataFrame) -> DataFrame:
 def best_named(funds: DataFrame, filings: DataFrame) -> DataFrame:
     """For each fund (fund_id, fund_name) the filing (id, entityname) of the same name, of the same display form, else of the most equal places from 0.9 on.
 
-    Ties go to the smallest id.  Names of equal places nine in ten share a block of characters at the same place
-    (a pigeonhole: blocks are narrower than what differences can spoil), so only those that share one are compared.
+    Ties go to the smallest id.  Names of n characters are cut into blocks of three at fixed places.  Two names equal
+    in nine places of ten differ in at most n / 9 blocks, so they share one of the n / 9 + 1 rarest blocks of each;
+    only names that do are compared.
     """
     shown = lambda c: N.normal(c, "display")
     a = funds.filter("fund_name <> ''").select("fund_id", F.lower(F.trim("fund_name")).alias("key"), shown(F.col("fund_name")).alias("shown"))
@@ -182,13 +183,22 @@ def best_named(funds: DataFrame, filings: DataFrame) -> DataFrame:
     same = a.join(b.groupBy(F.col("shown_b").alias("shown")).agg(F.min("id").alias("id")), "shown").select("fund_id", "id", F.lit(1).alias("how"), F.lit(1.0).alias("score"))
 
     def blocks(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-        n = F.length(text)
-        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor(n / w).cast("int") - 1), lambda i: F.struct(F.lit(w).alias("width"), i.alias("at"), F.substring(F.col(text), i * w + 1, F.lit(w)).alias("part")))
-        none = F.array().cast("array<struct<width: int, at: int, part: string>>")
-        return rows.select(*keep, F.explode(F.concat(F.when((n >= 4) & (n < 23), cut(4)).otherwise(none), F.when(n >= 18, cut(6)).otherwise(none))).alias("block"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 3).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col(text), i * 3 + 1, F.lit(3)).alias("part")))
+        return rows.filter(F.length(text) >= 3).select(*keep, F.explode(cut).alias("block"))
 
     ours, theirs = a.select("shown").distinct(), b.groupBy("shown_b").agg(F.min("id").alias("id"))
-    met = blocks(ours, "shown", "shown").join(blocks(theirs, "shown_b", "shown_b", "id"), "block").select("shown", "shown_b", "id").distinct()
+    all_theirs = blocks(theirs, "shown_b", "shown_b", "id")
+    often = all_theirs.groupBy("block").agg(F.count("*").alias("n"))
+
+    def rarest(each: DataFrame, text: str, *keep: str) -> DataFrame:
+        ranked = each.join(often, "block", "left").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("o"))
+        return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), F.floor(F.length(text) / 9).cast("int") + 1)).alias("x")).select(*keep, "x.block")
+
+    met = rarest(blocks(ours, "shown", "shown"), "shown", "shown").join(rarest(all_theirs, "shown_b", "shown_b", "id"), "block").select("shown", "shown_b", "id").distinct()
+    # places that differ are at least as many as edits, which are counted faster
+    longer, most = F.greatest(F.length("shown"), F.length("shown_b")), 12
+    edits = F.levenshtein("shown", "shown_b", most)
+    met = met.filter((longer > 10 * most) | ((edits >= 0) & (10 * edits <= longer)))
     near = met.withColumn("score", N.positional_similarity(F.col("shown"), F.col("shown_b"))).filter("score >= 0.9")
     near = a.join(near, "shown").select("fund_id", "id", F.lit(2).alias("how"), "score")
     return newest_per(exact.unionByName(same).unionByName(near), F.col("fund_id"), F.col("how"), F.desc("score"), F.col("id")).select("fund_id", "id", "how", F.round("score", 6).alias("score"))
