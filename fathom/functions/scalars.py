@@ -116,7 +116,8 @@ def plain(html: Column) -> Column:
 
 def result_links(html: Column) -> Column:
     """Results of a page of results: url, title, description, each with the first snippet before the next result."""
-    blocks = F.slice(F.split(html, r'<a(?=[^>]+class="result__a")'), F.lit(2), F.lit(2147483647))
+    parts = F.split(html, r'<a(?=[^>]+class="result__a")')
+    blocks = F.slice(parts, F.lit(2), F.size(parts) - 1)
     link = r'(?s)^[^>]+class="result__a"[^>]+href="([^"]+)"[^>]*>(.*?)</a>'
 
     def one(block: Column) -> Column:
