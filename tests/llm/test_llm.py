@@ -280,6 +280,20 @@ def test_near_duplicates(spark, odd, words):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_like_texts_below_the_similarity_hardly_meet(spark):
+    """Texts of one template with words of their own: no links, and sets that the filters keep apart aren't joined."""
+    base = [f"t{i}" for i in range(200)]
+    texts = [" ".join(base + [f"own{i}w{j}" for j in range(60)]) for i in range(400)]
+    near = [" ".join(base + [f"own{i}w{j}" for j in range(60 - i % 2)]) for i in range(6)]  # each near one of the first
+    docs = docs_of(spark, texts + near)
+    want = brute_components([(r.doc_id, r.text) for r in docs.collect() if r.doc_id < 8 or r.doc_id >= 400], 2)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 2).collect()}
+    assert {i: got[i] for i in want} == want and all(got[i] == i for i in range(8, 400))
+    sets = neardup.shingle_sets(docs, store.written(docs.select(F.col("doc_id").alias("id")), "ids"), 2)
+    nodes = store.written(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), "nodes")
+    assert neardup.crossings(sets, nodes, 80).count() < 100
+
+
 def test_components_of_a_shuffled_chain(spark):
     ids = list(range(1000))
     random.Random(6).shuffle(ids)
@@ -338,6 +352,32 @@ def test_sql(spark, name):
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(cursor.fetchall())
 
 
+def test_stages_on_hostile_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns named like the stages' own."""
+    clean = " ".join(f"word{i % 97}x{i % 31}, and" for i in range(120)) + "."
+    rows = [(20 + i, clean if i % 2 else clean + f" end{i}.", "en", "s0", None, "x", 0.5) for i in range(3)] + [(20, clean, "en", "s0", None, "x", 0.5)] * 2
+    docs = odd.union(spark.createDataFrame(rows, odd.schema)).withColumn("_t", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("id", F.lit("a"))
+    for stage in (s for _, s in corpus_pipeline.STAGES[:-1]):
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {r["_t"] for r in out.collect()} <= {"mine"}
+    left = corpus_pipeline.dedup(spark, docs, DATA)
+    want = brute_components([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 5)
+    assert {r.doc_id for r in left.collect() if r.doc_id is not None} == {i for i, c in want.items() if i == c}
+    assert left.filter("doc_id = 20").count() == 2 and left.filter("doc_id = 4").count() == 1  # two texts under 20, one under 4
+    assert corpus_pipeline.packing(spark, docs.limit(0), DATA).count() == 0
+    packed = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_decontamination_stage(spark, tmp_path):
+    items = [" ".join(f"i{n}w{j}" for j in range(n)) for n in (4, 7, 9, 12)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [f"a b c {t} d e f" for t in items] + ["a b c d e f", None, items[3][: len(items[3]) // 2]]
+    kept = corpus_pipeline.decontamination(spark, docs_of(spark, texts), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {4, 5, 6}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
