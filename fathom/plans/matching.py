@@ -74,7 +74,7 @@ def tk08(spark, d):
     return table(spark, d, "advisers").select("crd", F.array_join(N.keywords(F.col("adviser_name")), " ").alias("words"))
 
 
-_PAIRS = "pairs AS (SELECT x.id, x.name AS a, y.name AS b FROM names x JOIN names y ON y.id = x.id + 14 OR y.id = x.id + 1 WHERE x.id % 3 = 0)"
+_PAIRS = "pairs AS (SELECT x.id, x.name AS a, y.name AS b FROM names x JOIN names y ON y.id = x.id + 14 OR y.id = x.id + 1)"
 
 
 def name_pairs(spark, d):
@@ -84,15 +84,10 @@ def name_pairs(spark, d):
     return ours.join(rows.select(F.col("id").alias("other"), "b"), "other").select("id", "a", "b")
 
 
-def sql_pairs(spark, d):
-    """Those of them that _PAIRS has."""
-    return name_pairs(spark, d).filter("id % 3 = 0")
-
-
 @query("si06_positional", f""", {_PAIRS}, s AS (SELECT id, a, b, greatest(length(a), length(b)) AS n, least(length(a), length(b)) AS m FROM pairs)
 SELECT id, a, b, round(CASE WHEN m::DOUBLE / n < 0.9 THEN 0 ELSE len(list_filter(range(1, m + 1), lambda i: a[i] = b[i]))::DOUBLE / n END, 6) AS similarity FROM s""", "names")
 def si06(spark, d):
-    return sql_pairs(spark, d).withColumn("similarity", F.round(N.positional_similarity(F.col("a"), F.col("b")), 6))
+    return name_pairs(spark, d).withColumn("similarity", F.round(N.positional_similarity(F.col("a"), F.col("b")), 6))
 
 
 _REG = form_sql("{}", "registration")
@@ -106,7 +101,7 @@ SELECT id, a, b, round(CASE WHEN na = '' OR nb = '' THEN 0 WHEN na = nb THEN 1 W
   WHEN len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) IN (len(ta), len(tb)) THEN 0.95 WHEN len(ta) > 0 AND len(tb) > 0 AND len(list_intersect(ta, tb)) > 0 AND len(list_intersect(ta, tb))::DOUBLE / greatest(len(ta), len(tb)) >= 0.5 THEN 0.85
   WHEN len(wa) >= 2 AND len(wb) >= 2 AND wa[1:2] = wb[1:2] THEN 0.85 ELSE len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) END, 6) AS score FROM v""", "names")
 def si05(spark, d):
-    return sql_pairs(spark, d).withColumn("score", F.round(N.tiered_similarity(F.col("a"), F.col("b")), 6).cast("double"))
+    return name_pairs(spark, d).withColumn("score", F.round(N.tiered_similarity(F.col("a"), F.col("b")), 6).cast("double"))
 
 
 @query("si04_weighted")
@@ -220,9 +215,9 @@ SQL["de09_graded_registration"] = f"""{_BASE}, r AS (SELECT {_MASTER} AS series_
 SELECT *, date_diff('day', first_filing, DATE '1998-06-30') AS days, CASE WHEN date_diff('day', first_filing, DATE '1998-06-30') > 180 THEN 'critical' WHEN date_diff('day', first_filing, DATE '1998-06-30') > 120 THEN 'high' ELSE 'medium' END AS severity FROM r"""
 
 
-@query("jn24_outer_merge", """SELECT coalesce(a.crd, f.crd) AS crd, adviser_name, n, a.crd IS NOT NULL AS listed FROM (SELECT crd, adviser_name FROM advisers WHERE crd % 2 = 0) a FULL JOIN (SELECT adviser_entity_crd AS crd, count(*) AS n FROM funds GROUP BY 1) f ON a.crd = f.crd""", "advisers", "funds")
+@query("jn24_outer_merge", """SELECT coalesce(a.crd, f.crd) AS crd, adviser_name, n, a.crd IS NOT NULL AS listed FROM (SELECT crd, adviser_name FROM advisers) a FULL JOIN (SELECT adviser_entity_crd AS crd, count(*) AS n FROM funds GROUP BY 1) f ON a.crd = f.crd""", "advisers", "funds")
 def jn24(spark, d):
-    left = table(spark, d, "advisers").filter("crd % 2 = 0").select("crd", "adviser_name", F.lit(True).alias("listed"))
+    left = table(spark, d, "advisers").select("crd", "adviser_name", F.lit(True).alias("listed"))
     counts = table(spark, d, "funds").groupBy(F.col("adviser_entity_crd").alias("crd")).agg(F.count("*").alias("n"))
     return left.join(counts, "crd", "full_outer").select("crd", "adviser_name", "n", F.coalesce("listed", F.lit(False)).alias("listed"))
 
