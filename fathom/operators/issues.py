@@ -137,7 +137,7 @@ def audited(flagged: DataFrame, filings: DataFrame, advisers: DataFrame, owners:
     Looked at with the smallest filing of its cik.
     """
     first = newest_per(filings.filter("cik <> ''"), F.col("cik"), F.col("id")).select("cik", "entityname", "related_names", "related_roles", "stateorcountry")
-    rows = flagged.select("manager_name", "cik").join(first, "cik", "left").withColumn("key", F.col("manager_name"))
+    rows = flagged.select("manager_name", "cik").join(first, "cik", "left").withColumn("key", F.col("manager_name")).persist()  # the lookups read it
     hit = R.lookup(rows.filter("manager_name <> ''").select("key", F.col("manager_name").alias("name"), "related_names", "related_roles"), advisers, owners).select("key", "source")
     person = R.by_principals(rows.select("key", "related_names"), owners, advisers).select("key", F.lit(True).alias("person"))
     place = F.upper(F.trim("stateorcountry"))
