@@ -60,13 +60,25 @@ def growth(values: DataFrame, key: str) -> DataFrame:
 def blocked_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each id of left (id, name) the best right (key, name): shared distinctive tokens, gate, most shared, shortest name, smallest key.
 
-    Pairs come from a join on tokens, so names without a common word never meet.
+    Names that share one token only need the shortest name of each token, which is found before anything is joined.
+    Names that share two meet at a token that isn't the commonest of either, so a word in every name joins nothing.
     """
     a = left.select("id", T.distinctive_tokens(F.col("name")).alias("a"))
     b = right.select("key", F.col("name").alias("found"), T.distinctive_tokens(F.col("name")).alias("b"))
-    pairs = a.select("id", "a", F.explode("a").alias("token")).join(b.select("key", "found", "b", F.explode("b").alias("token")), "token").select("id", "a", "key", "found", "b").distinct()
-    shared = F.size(F.array_intersect("a", "b"))
-    return newest_per(pairs.filter(T.gate(F.col("a"), F.col("b"))).withColumn("shared", shared), F.col("id"), F.desc("shared"), F.length("found"), F.col("key")).select("id", "key", "shared")
+    counts = b.select(F.explode("b").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def rarer(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
+        """A row for each token of rows but the commonest one."""
+        each = rows.filter(F.size(tokens) > 1).select(*keep, F.explode(tokens).alias("token")).join(counts, "token", "left")
+        order = each.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"))
+        return order.select(*keep, F.explode(F.slice("o", F.lit(1), F.size("o") - 1)).alias("x")).select(*keep, "x.token")
+
+    two = rarer(a, "a", "id", "a").join(rarer(b, "b", "key", "found", "b"), "token").select("id", "a", "key", "found", "b")
+    first = b.select(F.explode("b").alias("token"), "key", "found", "b").filter(F.length("token") >= 5).groupBy("token").agg(F.min_by(F.struct("key", "found", "b"), F.struct(F.length("found"), "key")).alias("x"))
+    one = a.select("id", "a", F.explode("a").alias("token")).join(first, "token").select("id", "a", "x.*")
+    pairs = two.union(one).filter(T.gate(F.col("a"), F.col("b"))).withColumn("shared", F.size(F.array_intersect("a", "b")))
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("key", "shared"), F.struct(-F.col("shared"), F.length("found"), "key")).alias("x"))
+    return best.select("id", "x.key", "x.shared")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

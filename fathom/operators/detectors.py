@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fathom.functions import formats
 from fathom.functions import names as N
 from fathom.functions import text as T
-from fathom.operators import core
+from fathom.operators import containment, core
 
 #: Severities from the gravest; unknown ones come last.
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -76,19 +76,14 @@ def prefix_lookup(left: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def named_in_filings(advisers: DataFrame, filings: DataFrame, matches: DataFrame, before_year: int) -> DataFrame:
-    """Unmatched filings of earlier years whose text holds two of an adviser's first three telling words, anywhere inside words; the smallest crd of each.
-
-    Each distinct word of the filings is cut into its parts once, and the parts join the keywords: no text meets every adviser.
-    """
+    """Unmatched filings of earlier years whose text holds two of an adviser's first three telling words, anywhere inside words; the smallest crd of each."""
     words = advisers.select("crd", F.explode(N.keywords(F.col("adviser_name"))).alias("keyword")).distinct()
     left = filings.filter(F.year(T.mixed_date(F.col("filing_date"))) < before_year).join(matches.select("accessionnumber"), "accessionnumber", "left_anti")
-    said = left.select("accessionnumber", F.explode(F.array_distinct(F.split(F.upper("entityname"), r"\s+"))).alias("word"))
-    ends = F.sequence(F.lit(3), F.length("word"))
-    parts = said.select("word").distinct().filter(F.length("word") >= 3)
-    parts = parts.select("word", F.explode(F.array_distinct(F.flatten(F.transform(ends, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring("word", i, n)))))).alias("keyword"))
-    held = parts.join(words.select("keyword").distinct(), "keyword", "left_semi")
-    hits = said.join(held, "word").select("accessionnumber", "keyword").distinct().join(words, "keyword")
-    return hits.groupBy("accessionnumber", "crd").agg(F.count("*").alias("n")).filter("n >= 2").groupBy("accessionnumber").agg(F.min("crd").alias("crd")).withColumn("severity", F.lit("medium"))
+    said = left.select("accessionnumber", F.upper("entityname").alias("text"))
+    held = containment.held(words.select(F.col("keyword").alias("part")), said).select(F.col("part").alias("keyword"), "text")
+    # texts repeat, so each is counted against the advisers once
+    hits = held.join(words, "keyword").groupBy("text", "crd").agg(F.count("*").alias("n")).filter("n >= 2").groupBy("text").agg(F.min("crd").alias("crd"))
+    return said.join(hits, "text").select("accessionnumber", "crd").withColumn("severity", F.lit("medium"))
 
 
 def graded_registration(filings: DataFrame, matches: DataFrame, blocked: str, as_of: str) -> DataFrame:

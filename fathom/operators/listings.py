@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import names as N
 from fathom.functions import text as T
+from fathom.operators import containment
 from fathom.operators.core import newest_per
 
 #: Searches of fewer characters are ignored.
@@ -154,18 +155,18 @@ def promoter(names: Column, roles: Column) -> Column:
 def promoter_advisers(filings: DataFrame, advisers: DataFrame) -> DataFrame:
     """id of each filing whose promoter's name holds an adviser's name or is held by it, with that adviser: the longest such name, then the smallest crd.
 
-    The two names meet at the first characters of the shorter one among all places of the longer one, so not every
-    filing meets every adviser; each name of a promoter is looked up once.
+    Names of fewer than five characters count on neither side.  Each name of a promoter is looked up once.
     """
-    width = 5
-    rows = filings.select("id", F.lower(promoter(F.col("related_names"), F.col("related_roles"))).alias("who")).filter(F.length("who") >= width)
-    known = advisers.select("crd", F.lower(first_text(F.col("adviser_name"), F.col("adviser_entity_legal_name"))).alias("name")).filter(F.length("name") >= width)
-    asked = rows.select("who").distinct()
-    head = lambda c: F.substring(F.col(c), 1, width).alias("part")
-    parts = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - width + 1), lambda i: F.substring(F.col(c), i, F.lit(width))))).alias("part")
-    longer = asked.select("who", head("who")).join(known.select("crd", "name", parts("name")), "part").filter(F.contains("name", "who"))
-    shorter = asked.select("who", parts("who")).join(known.select("crd", "name", head("name")), "part").filter(F.contains("who", "name"))
-    best = longer.unionByName(shorter).groupBy("who").agg(F.min_by(F.struct("crd", "name"), F.struct(-F.length("name"), "crd")).alias("x"))
+    least = 5
+    rows = filings.select("id", F.lower(promoter(F.col("related_names"), F.col("related_roles"))).alias("who")).filter(F.length("who") >= least)
+    known = advisers.select("crd", F.lower(first_text(F.col("adviser_name"), F.col("adviser_entity_legal_name"))).alias("name")).filter(F.length("name") >= least)
+    known = known.groupBy("name").agg(F.min("crd").alias("crd"))
+    pair = lambda rows, part, text: rows.select(F.col("part").alias(part), F.col("text").alias(text)).select("who", "name")
+    one = lambda rows, c, to: rows.select(F.col(c).alias(to))
+    longer = pair(containment.held(one(rows, "who", "part"), one(known, "name", "text")), "who", "name")
+    shorter = pair(containment.held(one(known, "name", "part"), one(rows, "who", "text")), "name", "who")
+    met = longer.unionByName(shorter).join(known, "name")
+    best = met.groupBy("who").agg(F.min_by(F.struct("crd", "name"), F.struct(-F.length("name"), "crd")).alias("x"))
     return rows.join(best, "who").select("id", "who", F.col("x.crd").alias("crd"), F.col("x.name").alias("adviser"))
 
 

@@ -1,7 +1,7 @@
 """Is a manager a registered adviser?  Ways to look that up, from the surest to the weakest, and what follows from it.
 
 No name meets every adviser: names that must hold another whole word meet at their rarest word, names that must hold
-another as a part meet at its first characters, persons meet by first and last name.
+another as a part meet at the part's rarest gram, persons meet by first and last name.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fathom.functions import formats
 from fathom.functions import names as N
 from fathom.functions import text as T
+from fathom.operators import containment
 from fathom.operators import matching as M
 from fathom.operators.core import newest_per
 from fathom.operators.listings import first_text
@@ -29,7 +30,6 @@ FUND_WORDS = "FUND|SERIES|PORTFOLIO|FEEDER|MASTER|OFFSHORE|ONSHORE|PARALLEL|SPV|
 SERVANTS = "admin|custod|legal|counsel|account|audit|attorney|compliance"
 #: Places of persons that are looked at, as lists of related parties are short.
 OWNER_PERSONS, NAME_PERSONS = 8, 5
-_HEAD = 5
 
 
 def named(advisers: DataFrame) -> DataFrame:
@@ -63,15 +63,9 @@ def holding(asked: DataFrame, advisers: DataFrame) -> DataFrame:
 
 def containing(asked: DataFrame, advisers: DataFrame) -> DataFrame:
     """part (of asked) with each adviser whose name holds it anywhere, in any case.  Parts of fewer than three characters find none."""
-    parts = asked.select("part").distinct().filter(F.length("part") >= 3).withColumn("head", F.lower(F.substring("part", 1, _HEAD)))
-    name = F.lower("adviser_name")
-
-    def cut(k: int) -> Column:
-        return F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*(cut(k) for k in range(3, _HEAD + 1))))
-    known = named(advisers).select("crd", "adviser_name", F.explode(F.array_distinct(grams)).alias("head"))
-    return parts.join(known, "head").filter(F.contains(F.lower("adviser_name"), F.lower("part"))).select("part", "crd", "adviser_name")
+    known = named(advisers)
+    found = containment.held(asked, known.select(F.col("adviser_name").alias("text")))
+    return found.join(known, F.col("text") == F.col("adviser_name")).select("part", "crd", "adviser_name")
 
 
 def base_of(name: Column) -> Column:
@@ -229,23 +223,35 @@ def index_matches(rows: DataFrame, advisers: DataFrame, least: float = 0.8) -> D
 
 
 def _met(names: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs that can have a tiered similarity from .8 on: one holds the other, the first two words are equal, a telling word is shared, or four in five words are."""
+    """Pairs that can have a tiered similarity from .8 on: one holds the other, the first two words are equal, half the telling words or all of one side's are shared, or four in five words are.
+
+    Sets of words meet at their rarest words only.  All words of one side stand in the other: the rarest of the one meets
+    every word of the other.  A share of both: a word that both have is among the rarest of each, as many as the share leaves.
+    """
     listed = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 1)
     a = names.select("name", "form", listed(F.col("form")).alias("w"))
     b = known.select("crd", "adviser_name", "form_b", listed(F.col("form_b")).alias("w"))
     counts = b.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
     def keyed(rows: DataFrame, *keep: str) -> DataFrame:
-        telling = F.filter("w", lambda w: ~w.isin(*N.TIER_GENERIC))
-        told = rows.select(*keep, F.explode(F.transform(telling, lambda w: F.concat(F.lit("t "), w))).alias("k"))
+        """Keys at which rows meet: those of the other side that a key stands for have the same text."""
         two = rows.filter(F.size("w") >= 2).select(*keep, F.concat(F.lit("2 "), F.array_join(F.slice("w", 1, 2), " ")).alias("k"))
-        seen = rows.select(*keep, "w", F.explode(F.array_distinct("w")).alias("word")).join(counts, "word", "left")
-        order = seen.groupBy(*keep, "w").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"))
-        few = order.select(*keep, F.explode(F.slice("o", F.lit(1), F.size("w") - F.ceil(F.size("w") * 0.8).cast("int") + 1)).alias("x")).select(*keep, F.concat(F.lit("f "), F.col("x.word")).alias("k"))
-        return told.union(two).union(few)
-
-    shared = keyed(a, "name").join(keyed(b, "crd", "adviser_name"), "k").select("name", "crd", "adviser_name")
-    inner = names.select("name", F.col("form").alias("part")).join(containing(names.select(F.col("form").alias("part")), known.select("crd", F.col("form_b").alias("adviser_name"))).select("part", "crd"), "part").join(known.select("crd", "adviser_name"), "crd").select("name", "crd", "adviser_name")
-    turned = containing(known.select(F.col("form_b").alias("part")), names.select(F.col("name").alias("crd"), F.col("form").alias("adviser_name"))).select("part", F.col("crd").alias("name"))
-    outer = turned.join(known.select(F.col("form_b").alias("part"), "crd", "adviser_name"), "part").select("name", "crd", "adviser_name")
+        seen = rows.select(*keep, F.explode(F.array_distinct("w")).alias("word"), F.size("w").alias("size")).join(counts, "word", "left")
+        order = seen.groupBy(*keep, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"))
+        telling = F.transform(F.filter("o", lambda x: ~x["word"].isin(*N.TIER_GENERIC)), lambda x: x["word"])
+        order = order.select(*keep, "size", F.transform("o", lambda x: x["word"]).alias("o"), telling.alias("t"))
+        rarest = lambda words, least: F.slice(words, F.lit(1), F.greatest(F.size(words) - least + 1, F.lit(0)))
+        half = order.select(*keep, F.explode(rarest("t", F.ceil(F.size("t") / 2).cast("int"))).alias("word"), F.lit("h ").alias("kind"))
+        few = order.select(*keep, F.explode(F.slice("o", F.lit(1), F.col("size") - F.ceil(F.col("size") * 0.8).cast("int") + 1)).alias("word"), F.lit("f ").alias("kind"))
+        return two.unionByName(half.unionByName(few).select(*keep, F.concat("kind", "word").alias("k"))), order
+
+    (ours, mine), (theirs, other) = keyed(a, "name"), keyed(b, "crd", "adviser_name")
+    one, every = lambda rows, *keep: rows.filter(F.size("t") > 0).select(*keep, F.element_at("t", 1).alias("k")), lambda rows, *keep: rows.select(*keep, F.explode("t").alias("k"))
+    pair = ("name", "crd", "adviser_name")
+    shared = ours.join(theirs, "k").select(*pair)
+    shared = shared.union(one(mine, "name").join(every(other, "crd", "adviser_name"), "k").select(*pair)).union(every(mine, "name").join(one(other, "crd", "adviser_name"), "k").select(*pair))
+    forms = known.select("crd", "adviser_name", "form_b")
+    part, text = lambda rows, c: rows.select(F.col(c).alias("part")), lambda rows, c: rows.select(F.col(c).alias("text"))
+    inner = containment.held(part(names, "form"), text(known, "form_b"), least=1).join(names, F.col("part") == F.col("form")).join(forms, F.col("text") == F.col("form_b")).select(*pair)
+    outer = containment.held(part(known, "form_b"), text(names, "form"), least=1).join(forms, F.col("part") == F.col("form_b")).join(names, F.col("text") == F.col("form")).select(*pair)
     return shared.union(inner).union(outer).distinct()

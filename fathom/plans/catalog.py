@@ -189,5 +189,5 @@ def dt11(spark, d):
 
 @query("jn19_blocked_match")
 def jn19(spark, d):
-    masters = core.new_managers(table(spark, d, "filings"), BLOCKED).select(F.xxhash64("series_master").alias("id"), F.col("series_master").alias("name"))
-    return core.blocked_match(masters, table(spark, d, "advisers").select(F.col("crd").alias("key"), F.col("adviser_name").alias("name")))
+    masters = core.new_managers(table(spark, d, "filings"), BLOCKED).select(F.col("series_master").alias("id"), F.col("series_master").alias("name"))
+    return core.blocked_match(masters, table(spark, d, "advisers").select(F.col("crd").alias("key"), F.col("adviser_name").alias("name"))).withColumnRenamed("id", "series_master")
