@@ -23,6 +23,8 @@ FEATURES = 1 << 14
 PER_LANG = 400
 #: Bounds of the sample: languages that are learned, and texts in all.
 MOST_LANGS, MOST_TEXTS = 256, 20_000
+#: Features of a text that the weights are fitted on, the most frequent ones: 6 bytes each, so 250 MB for all texts.
+MOST_FEATURES = 2_048
 #: Follow-the-regularised-leader's rates and penalties, and how often it sees the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.01, 4
 #: One in so many texts of the sample sets the temperature.
@@ -91,6 +93,9 @@ def training_features(docs: DataFrame) -> tuple[int, np.ndarray, list[tuple[str,
                 total += 1
                 seen[grams[0]] += 1
                 if sampled:
+                    if len(grams[0]) > MOST_FEATURES:
+                        kept = np.sort(np.argsort(-grams[1], kind="stable")[:MOST_FEATURES])
+                        grams = grams[0][kept], grams[1][kept]
                     out.append((lang, at, grams[0].tobytes(), grams[1].astype(np.uint32).tobytes(), 0))
             yield table(out)
         yield table([(None, -1, None, seen.tobytes(), total)])

@@ -220,11 +220,16 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Written table of those of the written pairs (a, b) whose sets (id, shingles) have the similarity."""
-    salts = store.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")), "salts")
-    left = sets.join(few(salts.select(F.col("a").alias("id"), "salts")), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    salted = pairs.join(few(salts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    both = salted.join(right, "b").join(left, ["a", "salt"]).withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+    # a set of many pairs is dealt out in copies, on whichever side it stands
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    salts = store.written(ends.groupBy("id").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")), "salts")
+    dealt = sets.join(few(salts), "id").select("id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "shingles")
+    left = dealt.select(F.col("id").alias("a"), F.col("salt").alias("salt_a"), F.col("shingles").alias("of_a"))
+    right = dealt.select(F.col("id").alias("b"), F.col("salt").alias("salt_b"), F.col("shingles").alias("of_b"))
+    salt = lambda end, other: F.pmod(F.xxhash64(other), F.col("salts")).cast("int").alias(f"salt_{end}")
+    salted = pairs.join(few(salts.withColumnRenamed("id", "a")), "a").select("a", "b", salt("a", "b"))
+    salted = salted.join(few(salts.withColumnRenamed("id", "b")), "b").select("a", "b", "salt_a", salt("b", "a"))
+    both = salted.join(right, ["b", "salt_b"]).join(left, ["a", "salt_a"]).withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
     alike = 100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))
     links = store.written(both.filter(alike).select("a", "b").distinct(), "links")
     store.discard(salts)
@@ -388,6 +393,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = stars(placed, nodes, percent)
         pairs = store.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
+            store.discard(sets if k == STAR_ROUNDS else None)
             continue
         if k < STAR_ROUNDS:
             sets = shingle_sets(docs, ends_of(pairs), words)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: Punctuation that says nothing of sentences.
+UNSAID = "\"#%&'*/@\\"
 #: A document may lose this share (in percent) of the characters of its lines.
 MOST_LOST = 40
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|(accept|use) (all )?cookies|enable javascript|lorem ipsum|click here|sign (in|up) (to|for)|subscribe to|share this|back to top|skip to content)\b"
@@ -30,7 +32,8 @@ def line_fails(line: Column) -> Column:
     n, spaces = F.length(line), _count(line, " ")
     shouted = 10 * _count(line, "!!") > spaces + 1
     symbols = 20 * F.regexp_count(line, F.lit(SYMBOLS)) > n
-    unpunctuated = (spaces >= 30) & ~line.rlike(r"[.,;:!?。、，！？؟।…]")
+    # sentences of any script end in other punctuation; these signs of it are no marks of sentences
+    unpunctuated = (spaces >= 30) & ~F.translate(line, UNSAID, "").rlike(r"\p{Po}")
     navigation = _count(line, " | ") >= 2
     boilerplate = (spaces < 25) & line.rlike(BOILERPLATE)
     return shouted | symbols | unpunctuated | navigation | boilerplate
@@ -110,7 +113,7 @@ lost AS (
   SELECT doc_id, sum(n) AS total, sum(CASE WHEN
       10 * (n - length(replace(x, '!!', ''))) / 2.0 > spaces + 1
       OR 20 * len(regexp_extract_all(x, '[#*$%&|<>]')) > n
-      OR (spaces >= 30 AND NOT regexp_matches(x, '[.,;:!?。、，！？؟।…]'))
+      OR (spaces >= 30 AND NOT regexp_matches(translate(x, '"#%&''*/@\', ''), '\p{Po}'))
       OR (n - length(replace(x, ' | ', ''))) / 3.0 >= 2
       OR (spaces < 25 AND regexp_matches(x, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|(accept|use) (all )?cookies|enable javascript|lorem ipsum|click here|sign (in|up) (to|for)|subscribe to|share this|back to top|skip to content)\b'))
     THEN n ELSE 0 END) AS gone

@@ -159,23 +159,35 @@ def test_license_passages(spark):
 
 
 def brute_licenses(index, words):
-    """Every template at every place."""
+    """Every template at every place; then the passages that no heavier one of another licence covers; then SPDX lines."""
+    slack, plain = licenses.SLACK, words
+    words = [licenses.SPELLINGS.get(w, w) for w in words]
     inside = lambda low, high, p: any(words[i : i + len(p)] == p for i in range(max(0, low), min(high, len(words)) - len(p) + 1))
-    starts, base, more, best = [], set(), set(), 0.0
-    for label, text, must, phrase in index.templates:
+    starts, base, passages = [], set(), []
+    for (label, text, must, phrase), never in zip(index.templates, licenses.excluded()):
         total = sum(index.weight[w] for w in text)
         for s in range(-len(text), len(words)):
             if phrase:
-                if s >= 0 and words[s : s + len(text)] == text:
+                if s >= 0 and plain[s : s + len(text)] == text:
                     starts.append(s)
                     base.add(label)
-                    best = 1.0
                 continue
-            got = sum(index.weight[w] for i, w in enumerate(text) if w in words[max(0, s + i - licenses.SLACK) : max(0, s + i + licenses.SLACK + 1)])
-            if got / total >= licenses.ENOUGH and all(inside(s - licenses.SLACK, s + len(text) + licenses.SLACK, p) for p in must):
-                more.add(label)
-                best = max(best, got / total)
-    return len(starts), min(starts, default=None), max(starts, default=None), base, base | more, best
+            end = s + len(text)
+            share = sum(index.weight[w] for i, w in enumerate(text) if w in words[max(0, s + i - slack) : max(0, s + i + slack + 1)]) / total
+            ok = share >= licenses.ENOUGH and all(inside(s - slack, end + slack, p) for p in must)
+            denied = any(inside(s - 5 - slack, s + slack + 2, [b"not", w]) for w in licenses.DENIED)
+            if ok and not any(inside(s - slack, end + 2 * slack, p) for p in never) and not denied:
+                passages.append((-round(share * total, 9), s, label, end, share))
+    left = []
+    for _, s, label, end, share in sorted(passages):
+        covered = [1 for a, b, other, _ in left if other != label and len(set(range(a, b)) & set(range(s, end))) * 2 > min(b - a, end - s)]
+        left += [] if covered else [(s, end, label, share)]
+    named = "|".join(sorted({t for _, t in licenses.SPDX}, key=len, reverse=True))
+    one = rf"(?:{named})(?: or later| only| later)?(?: with(?: (?!or |and )[^ ]+)+)?"
+    lines = re.findall(rf"(?<![^ ])spdx license identifier ((?:{one}(?: (?:or|and) (?={named}))?)+)(?![^ ])", b" ".join(words).decode())
+    spdx = {label for line in lines for label, t in licenses.SPDX if t in re.findall(rf"(?<![^ ])(?:{named})(?![^ ])", line)}
+    best = 1.0 if base else max((x[3] for x in left), default=0.0)
+    return len(starts), min(starts, default=None), max(starts, default=None), base, base | {x[2] for x in left} | spdx, best
 
 
 def test_licenses_against_brute_force():
@@ -185,9 +197,10 @@ def test_licenses_against_brute_force():
         text = []
         for _ in range(rng.randint(0, 3)):
             words = rng.choice(index.templates)[1]
-            text += [rng.choice([b"x", b"license", b"the"])] * rng.randint(0, 5) + [w for w in words for w in ([w] if rng.random() < 0.9 else [] if rng.random() < 0.5 else [w, b"y"])]
+            text += [rng.choice([b"x", b"license", b"the", b"not", b"licensed"])] * rng.randint(0, 5) + rng.choice([[], [b"not"]]) + [w for w in words for w in ([w] if rng.random() < 0.9 else [] if rng.random() < 0.5 else [w, b"y"])]
+            text += rng.choice([[], [], [b"or", b"mit"], [b"licence"], [b"and", b"gpl", b"2", b"0", b"or", b"later"]])
         got, want = index.scan(text), brute_licenses(index, text)
-        assert got[:5] == want[:5] and abs(got[5] - want[5]) < 1e-9
+        assert got[:5] == want[:5] and abs(got[5] - want[5]) < 1e-9, text
 
 
 def repeated(words):
@@ -394,3 +407,58 @@ def test_pipeline(spark):
         docs, ids = out, kept
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in packed} == ids
+
+
+#: A text for each licence, as its users write it, and the labels that it should get; no more and no fewer.
+NOTICES = {
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software)": "boost-1",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal": "mit",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS": "0bsd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "This file is not licensed under the GNU General Public License version 3": "",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2,mit",
+    "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause": "bsd,gpl-2",
+    "SPDX-License-Identifier: GPL-3.0-only\nint main or not": "gpl-3",
+    "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2": "wtfpl",
+    "Licensed under the Apache Licence, Version 2.0 (the Licence); you may not use this file except in compliance with the Licence.": "apache-2",
+    "Licensed under the Apache License, Version 2.0. Licensed under the MIT License.": "apache-2,mit",
+    "a text of its own that speaks of a license and of the public, free of charge": "",
+}
+
+
+def test_each_notice_has_its_labels(spark):
+    """With the weights of these texts, and with even ones."""
+    docs = docs_of(spark, [*NOTICES, *(["some other words here"] * 50)])
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    even = licenses.Index(0, {})
+    for i, (text, labels) in enumerate(NOTICES.items()):
+        assert got[i] == labels, text
+        assert ",".join(sorted(even.scan(licenses.words_of(text))[4])) == labels, text
+
+
+def test_sentences_of_any_script_end(spark):
+    """Long lines of prose stay, whatever marks their script has; lines without any, or with signs only, go."""
+    words = " ".join(f"w{i}" for i in range(40))
+    lines = {words + mark: True for mark in (".", "\u061f", "\u06d4", "\u1362", "\u0589", "\u104b", "\u0964", "\u3002")} | {words: False, words + " don't #x @y": False}
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: not r.f for r in df.select("line", quality_rules.line_fails(F.col("line")).alias("f")).collect()} == lines
+
+
+def test_hot_ends_of_pairs(spark):
+    """One document of many pairs, on either side, and pairs of its partners."""
+    ids = [*range(1, 60)]
+    sets = spark.createDataFrame([(i, list(range(10 if i % 7 else 5))) for i in [0, *ids, 99]], "id long, shingles array<long>")
+    pairs = [(0, i) for i in ids] + [(i, 99) for i in ids] + [(i, i + 1) for i in ids[:-1]]
+    old, neardup.HOT = neardup.HOT, 4
+    try:
+        got = neardup.confirmed(spark.createDataFrame(pairs, "a long, b long"), sets, 80).collect()
+    finally:
+        neardup.HOT = old
+    small = {i for i in [0, *ids, 99] if i % 7 == 0}
+    assert sorted(map(tuple, got)) == sorted((a, b) for a, b in pairs if (a in small) == (b in small))
