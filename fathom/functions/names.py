@@ -40,6 +40,8 @@ TAILS = ("Opportunity", "Opportunities", "Growth", "Income", "Aggressive", "Bala
 GENERIC = ("fund", "funds", "capital", "ventures", "venture", "partners", "partner", "management", "advisors", "advisers", "group", "holdings", "the")
 #: Words that don't tell advisers apart.
 COMMON = ("the", "of", "and", "co", "llc", "lp", "llp", "ltd", "inc", "corp", "company", "fund", "funds", "capital", "ventures", "venture", "partners", "partner", "partnership", "partnerships", "holdings", "holding", "group", "management", "mgmt", "advisors", "advisers", "gp", "master", "feeder", "series", "spv", "spvs", "investment", "investments", "first", "new", "global", "international")
+#: Words that don't count for weighted_similarity; unlike elsewhere, their stems do.
+WEIGHED_COMMON = ("the", "of", "and", "co", "llc", "lp", "llp", "ltd", "inc", "corp", "corporation", "company", "fund", "funds", "capital", "ventures", "venture", "partners", "partner", "holdings", "group", "management", "mgmt", "advisors", "advisers", "gp", "master", "feeder", "series", "spv", "spvs", "first", "new", "global", "international", "holding")
 #: Words that don't tell domains apart.
 SITE_GENERIC = ("capital", "ventures", "venture", "partners", "partner", "fund", "funds", "management", "advisors", "advisers", "group", "holdings", "investment", "investments", "private", "equity", "asset", "global", "international")
 #: Endings and words of company names.
@@ -156,10 +158,15 @@ def gate_result(name: Column, found: Column, related: Column) -> Column:
     return F.struct(passes.alias("passes"), weak.alias("downgrade"), reason.otherwise("zero_shared_distinctive_tokens").alias("reason"))
 
 
+def weighed(words: Column) -> Column:
+    """The words that count for weighted_similarity."""
+    return F.filter(words, lambda w: ~w.isin(*WEIGHED_COMMON))
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Half shared telling words, a fifth shared words, a fifth Jaro-Winkler, a tenth length; 0 without words."""
     wa, wb = words_of(a), words_of(b)
-    ta, tb = telling(wa), telling(wb)
+    ta, tb = weighed(wa), weighed(wb)
     part = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y))), F.lit(0.0))
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(0.5 * part(ta, tb) + 0.2 * part(wa, wb) + 0.2 * similar.jaro_winkler(a, b) + 0.1 * ratio)

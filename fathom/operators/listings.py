@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from fathom.functions import names as N
 from fathom.functions import text as T
 from fathom.operators import containment
 from fathom.operators.core import newest_per
+from fathom.sources import work
 
 #: Searches of fewer characters are ignored.
 LEAST_QUERY = 3
@@ -123,10 +126,10 @@ def address(*parts: str) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), ", ")
 
 
-def search_filings(filings: DataFrame, query: str = "", scope: str = "all", state: str = "", start: str | None = None, end: str | None = None, limit: int = 1000) -> DataFrame:
+def search_filings(filings: DataFrame, query: str = "", scope: str = "all", state: str = "", start: str | None = None, end: str | None = None, limit: int | None = 1000) -> DataFrame:
     """The newest filing of each cik (of each name where there is none) under the names that lists show; nothing for adviser, which filings don't have.
 
-    Of all filings that fit, the last FILINGS_CAP at most by id are looked at, as lists do.
+    Of all filings that fit, the last FILINGS_CAP at most by id are looked at, as lists do; without a limit, all are.
     """
     if query and scope == "adviser":
         return filings.limit(0).select("id", *(F.col(c).alias(a) for a, c in SHOWN.items()), F.lit("").alias("form_d_address"), F.lit("formd").alias("source"))
@@ -135,7 +138,7 @@ def search_filings(filings: DataFrame, query: str = "", scope: str = "all", stat
     if state:
         filings = filings.filter(F.col("stateorcountry") == state)
     day = T.filing_date(F.col("filing_date"))
-    some = filings.orderBy(F.desc("id")).limit(min(limit, FILINGS_CAP)).withColumn("_day", day)
+    some = (filings if limit is None else filings.orderBy(F.desc("id")).limit(min(limit, FILINGS_CAP))).withColumn("_day", day)
     if start:
         some = some.filter(F.col("_day") >= F.lit(start).cast("date"))
     if end:
@@ -170,39 +173,85 @@ def promoter_advisers(filings: DataFrame, advisers: DataFrame) -> DataFrame:
     return rows.join(best, "who").select("id", "who", F.col("x.crd").alias("crd"), F.col("x.name").alias("adviser"))
 
 
+#: Characters of the blocks at which names meet.
+_WIDTH = 3
+
+
+def _blocks(rows: DataFrame, text: str) -> DataFrame:
+    """rows once for each whole block of text: its place and its characters.  A shorter text is a block of its own."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _WIDTH).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col(text), i * _WIDTH + 1, F.lit(_WIDTH)).alias("part")))
+    whole = F.array(F.struct(F.lit(-1).alias("at"), F.col(text).alias("part")))
+    return rows.filter(F.length(text) > 0).select("*", F.explode(F.when(F.length(text) >= _WIDTH, cut).otherwise(whole)).alias("block"))
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, wrong: int) -> DataFrame:
+    """shown and shown_b of asked (shown) and known (shown_b), distinct, which share a rare block.
+
+    Names of n characters, equal in nine places of ten, differ in n / 9 places at most, and so in as many blocks.  The
+    rarest block that both have is then among the n / 9 + 1 rarest of each.  Only pairs that differ in at most wrong
+    places are sure to meet, at the wrong + 1 rarest.
+    """
+    ours, theirs = _blocks(asked.select("shown"), "shown"), _blocks(known.select("shown_b"), "shown_b")
+    often = theirs.groupBy("block").agg(F.count("*").alias("n"))
+
+    def rarest(each: DataFrame, text: str) -> DataFrame:
+        ranked = each.join(often, "block", "left").groupBy(text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("o"))
+        most = F.least(F.floor(F.length(text) / 9).cast("int"), F.lit(wrong)) + 1
+        return ranked.select(text, F.explode(F.slice("o", F.lit(1), most)).alias("x")).select(text, "x.block")
+
+    return rarest(ours, "shown").join(rarest(theirs, "shown_b"), "block").select("shown", "shown_b").distinct()
+
+
+def nearest_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """For each distinct name of asked (shown) that one of known (shown_b, id) equals in nine places of ten or more: shown, id and score of the nearest, the smallest id of equals.
+
+    Names that differ in one place are looked for first, then in two, in four and so on, always for the names only that
+    have found none which is surely the nearest: another with d places wrong is worse than one with fewer than .9 d.  So
+    a name with near neighbours never meets the far ones.
+    """
+    spark, place = asked.sparkSession, work.folder(asked.sparkSession, "names")
+    known = known.groupBy("shown_b").agg(F.min("id").alias("id"))
+    known.write.parquet(f"{place}/known")
+    asked.select("shown").distinct().write.parquet(f"{place}/left-0")
+    known, left = spark.read.parquet(f"{place}/known"), spark.read.parquet(f"{place}/left-0")
+    longest = left.agg(F.max(F.length("shown"))).first()[0] or 0
+    parts, wrong, step = [], 1, 0
+    while True:
+        last, step = wrong >= longest // 9, step + 1
+        met = near_pairs(left, known, wrong).join(known, "shown_b")
+        score = N.positional_similarity(F.col("shown"), F.col("shown_b"))
+        # places that differ are at least as many as edits, which are counted faster
+        longer, most = F.greatest(F.length("shown"), F.length("shown_b")), 12
+        edits = F.levenshtein("shown", "shown_b", most)
+        near = met.filter((longer > 10 * most) | ((edits >= 0) & (10 * edits <= longer))).withColumn("score", score).filter("score >= 0.9")
+        differs = F.round((1 - F.col("score")) * F.greatest(F.length("shown"), F.length("shown_b")))
+        best = near.groupBy("shown").agg(F.min_by(F.struct("id", "score", differs.alias("d")), F.struct(-F.col("score"), "id")).alias("x")).select("shown", "x.*")
+        best.write.parquet(f"{place}/best-{step}")
+        best = spark.read.schema(best.schema).parquet(f"{place}/best-{step}")
+        sure = best if last else best.filter(F.col("d") < 0.9 * (wrong + 1))
+        parts.append(sure.select("shown", "id", "score"))
+        if last:
+            return reduce(DataFrame.unionByName, parts)
+        rest = left.join(sure, "shown", "left_anti").select("shown")
+        rest.write.parquet(f"{place}/left-{step}")
+        left, wrong = spark.read.schema(rest.schema).parquet(f"{place}/left-{step}"), wrong * 2
+
+
 def best_named(funds: DataFrame, filings: DataFrame) -> DataFrame:
     """For each fund (fund_id, fund_name) the filing (id, entityname) of the same name, of the same display form, else of the most equal places from 0.9 on.
 
-    Ties go to the smallest id.  Names of n characters are cut into blocks of three at fixed places.  Two names equal
-    in nine places of ten differ in at most n / 9 blocks, so they share one of the n / 9 + 1 rarest blocks of each;
-    only names that do are compared.
+    Ties go to the smallest id, but to the largest among filings of the same name.
     """
     shown = lambda c: N.normal(c, "display")
     a = funds.filter("fund_name <> ''").select("fund_id", F.lower(F.trim("fund_name")).alias("key"), shown(F.col("fund_name")).alias("shown"))
     b = filings.filter("entityname <> ''").select("id", F.lower(F.trim("entityname")).alias("key"), shown(F.col("entityname")).alias("shown_b")).groupBy("key", "shown_b").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     exact = a.join(b.groupBy("key").agg(F.max("last").alias("id")), "key").select("fund_id", "id", F.lit(0).alias("how"), F.lit(1.0).alias("score"))
-    same = a.join(b.groupBy(F.col("shown_b").alias("shown")).agg(F.min("id").alias("id")), "shown").select("fund_id", "id", F.lit(1).alias("how"), F.lit(1.0).alias("score"))
-
-    def blocks(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-        cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 3).cast("int") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col(text), i * 3 + 1, F.lit(3)).alias("part")))
-        return rows.filter(F.length(text) >= 3).select(*keep, F.explode(cut).alias("block"))
-
-    ours, theirs = a.select("shown").distinct(), b.groupBy("shown_b").agg(F.min("id").alias("id"))
-    all_theirs = blocks(theirs, "shown_b", "shown_b", "id")
-    often = all_theirs.groupBy("block").agg(F.count("*").alias("n"))
-
-    def rarest(each: DataFrame, text: str, *keep: str) -> DataFrame:
-        ranked = each.join(often, "block", "left").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("o"))
-        return ranked.select(*keep, F.explode(F.slice("o", F.lit(1), F.floor(F.length(text) / 9).cast("int") + 1)).alias("x")).select(*keep, "x.block")
-
-    met = rarest(blocks(ours, "shown", "shown"), "shown", "shown").join(rarest(all_theirs, "shown_b", "shown_b", "id"), "block").select("shown", "shown_b", "id").distinct()
-    # places that differ are at least as many as edits, which are counted faster
-    longer, most = F.greatest(F.length("shown"), F.length("shown_b")), 12
-    edits = F.levenshtein("shown", "shown_b", most)
-    met = met.filter((longer > 10 * most) | ((edits >= 0) & (10 * edits <= longer)))
-    near = met.withColumn("score", N.positional_similarity(F.col("shown"), F.col("shown_b"))).filter("score >= 0.9")
-    near = a.join(near, "shown").select("fund_id", "id", F.lit(2).alias("how"), "score")
-    return newest_per(exact.unionByName(same).unionByName(near), F.col("fund_id"), F.col("how"), F.desc("score"), F.col("id")).select("fund_id", "id", "how", F.round("score", 6).alias("score"))
+    forms = b.groupBy(F.col("shown_b").alias("shown")).agg(F.min("id").alias("id"))
+    same = a.join(exact, "fund_id", "left_anti").join(forms, "shown").select("fund_id", "id", F.lit(1).alias("how"), F.lit(1.0).alias("score"))
+    found = exact.unionByName(same)
+    rest = a.join(found, "fund_id", "left_anti")
+    near = rest.join(nearest_names(rest, b.select("shown_b", "id")), "shown").select("fund_id", "id", F.lit(2).alias("how"), "score")
+    return found.unionByName(near).select("fund_id", "id", "how", F.round("score", 6).alias("score"))
 
 
 def combined(funds: DataFrame, matched: DataFrame, filings: DataFrame) -> DataFrame:

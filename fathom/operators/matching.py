@@ -101,21 +101,3 @@ def adviser_matches(managers: DataFrame, advisers: DataFrame) -> DataFrame:
     best = found.groupBy("id", "place", "variant").agg(F.min_by(F.struct("key", "found"), F.struct("how", "key")).alias("hit"))
     passed = best.filter(T.gate(T.distinctive_tokens(F.col("variant")), T.distinctive_tokens(F.col("hit.found"))))
     return passed.groupBy("id").agg(F.min(F.struct("place", "variant", "hit.key")).alias("x")).select("id", "x.key", "x.variant", "x.place")
-
-
-def best_similar(pairs: DataFrame, score: Column, least: float) -> DataFrame:
-    """Of pairs (id, key) the one with the highest score over least for each id, the smallest key of equals."""
-    return newest_per(pairs.withColumn("score", score).filter(F.col("score") > least), F.col("id"), F.desc("score"), F.col("key"))
-
-
-def match_verdicts(hits: DataFrame, matched: DataFrame) -> DataFrame:
-    """How sure a match is, from hits (id, crd, score) and matched (id, crd, null if nothing matched); scores within .05 of the best compete."""
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "crd")
-    ranked = hits.groupBy("id", "crd").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
-    rows = matched.select("id", F.col("crd").alias("ours")).join(ranked, "id", "left")
-    tops = rows.groupBy("id", "ours").agg(F.max_by(F.struct("crd", "score", "next"), -F.col("n")).alias("top"), F.coalesce(F.bool_or(F.col("crd") == F.col("ours")), F.lit(False)).alias("listed"))
-    gap = F.col("top.score") - F.col("top.next")
-    verdict = F.when(F.col("top.crd").isNull(), "not_listed_at_all").when(F.col("ours").isNotNull() & ~F.col("listed"), "match_not_listed")
-    verdict = verdict.when(F.col("ours") != F.col("top.crd"), "wrong_match").when(F.col("ours").isNotNull() & (F.col("top.score") < 0.4), "weak_top_match")
-    verdict = verdict.when(F.col("ours").isNotNull() & (gap < 0.05), "close_competitor").when(F.col("ours").isNotNull(), "verified")
-    return tops.select("id", verdict.when(F.col("top.score") >= 0.5, "possibly_missed").otherwise("unregistered").alias("verdict"))

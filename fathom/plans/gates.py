@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fathom.functions import names as N
 from fathom.plans.catalog import _ALL, _DAY, _XREF, BLOCKED, SQL
-from fathom.plans.matching import _GATE_WORDS, _MAILS, _MASTER, _PAIRS, _SITE_WORDS, _SITES, _TELL, _words_sql
+from fathom.plans.matching import _GATE_WORDS, _MAILS, _MASTER, _PAIRS, _SITE_WORDS, _SITES, _words_sql
 from fathom.sources.views import with_views
 
 
@@ -47,10 +47,14 @@ SELECT *, 'high' AS severity FROM rolled
 WHERE NOT EXISTS (SELECT 1 FROM advisers WHERE {passes_sql(shared_sql('series_master', 'adviser_name'))})"""
 
 
+def weighed_sql(words: str) -> str:
+    return f"list_filter({words}, lambda w: NOT list_contains({list(N.WEIGHED_COMMON)}, w))"
+
+
 def weighted_sql(a: str, b: str) -> str:
     """Weighted similarity of two names."""
     wa, wb = f"list_distinct({_words_sql(a)})", f"list_distinct({_words_sql(b)})"
-    ta, tb = _TELL.format(wa), _TELL.format(wb)
+    ta, tb = weighed_sql(wa), weighed_sql(wb)
     part = lambda x, y: f"coalesce(len(list_intersect({x}, {y})) / nullif(least(len({x}), len({y})), 0), 0)"
     ratio = f"least(length({a}), length({b})) / greatest(length({a}), length({b}))"
     return f"""CASE WHEN len({wa}) = 0 OR len({wb}) = 0 THEN 0.0

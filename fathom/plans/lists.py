@@ -248,23 +248,25 @@ def pj15(spark, d):
     return L.merged(L.looked_into(L.managers_of(table(spark, d, "notices")), table(spark, d, "records")), investors_of(spark, d))
 
 
-_POSITIONAL = "CASE WHEN least(length({a}), length({b})) = 0 OR least(length({a}), length({b}))::DOUBLE / greatest(length({a}), length({b})) < 0.9 THEN 0 ELSE len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] = {b}[i]))::DOUBLE / greatest(length({a}), length({b})) END"
-#: What a user looks for; the lists below are of what such a search finds, on both sides.
-SOUGHT = "deal 19"
-_NAMED = f"""vf AS (SELECT * FROM vehicles WHERE {_has(SOUGHT, 'fund_name', 'adviser_entity_legal_name')}), nf AS (SELECT * FROM notices WHERE {_has(SOUGHT, 'entityname', 'related_names')}),
-fa AS (SELECT fund_id, lower(trim(fund_name)) AS key, {_display('fund_name')} AS s FROM vf WHERE fund_name <> ''), fb AS (SELECT id, lower(trim(entityname)) AS key, {_display('entityname')} AS s FROM nf WHERE entityname <> ''),
-da AS (SELECT DISTINCT s FROM fa), db AS (SELECT s, min(id) AS id FROM fb GROUP BY s),
-nr AS (SELECT da.s, db.id, {_POSITIONAL.format(a='da.s', b='db.s')} AS score FROM da JOIN db ON least(length(da.s), length(db.s))::DOUBLE / greatest(length(da.s), length(db.s)) >= 0.9 AND {_POSITIONAL.format(a='da.s', b='db.s')} >= 0.9),
-hits AS (SELECT fund_id, max(fb.id) AS id, 0 AS how, 1.0::DOUBLE AS score FROM fa JOIN fb USING (key) GROUP BY fund_id UNION ALL SELECT fund_id, min(fb.id), 1, 1.0 FROM fa JOIN fb USING (s) GROUP BY fund_id UNION ALL SELECT fund_id, id, 2, score FROM fa JOIN nr USING (s)),
+_SHORTER, _LONGER = "least(length({a}), length({b}))", "greatest(length({a}), length({b}))"
+#: hamming wants texts of one length
+_POSITIONAL = f"({_SHORTER} - hamming(left({{a}}, {_SHORTER}), left({{b}}, {_SHORTER})))::DOUBLE / {_LONGER}"
+_NAMED = f"""
+fa AS (SELECT fund_id, lower(trim(fund_name)) AS key, {_display('fund_name')} AS s FROM vehicles WHERE fund_name <> ''),
+fb AS (SELECT id, lower(trim(entityname)) AS key, {_display('entityname')} AS s FROM notices WHERE entityname <> ''),
+sure AS (
+  SELECT fund_id, max(fb.id) AS id, 0 AS how, 1.0::DOUBLE AS score FROM fa JOIN fb USING (key) GROUP BY fund_id
+  UNION ALL SELECT fund_id, min(fb.id), 1, 1.0 FROM fa JOIN fb USING (s) GROUP BY fund_id),
+da AS (SELECT DISTINCT s, length(s) AS n FROM fa WHERE fund_id NOT IN (SELECT fund_id FROM sure) AND s <> ''), db AS (SELECT s, min(id) AS id, length(s) AS n FROM fb WHERE s <> '' GROUP BY s),
+nr AS (
+  SELECT da.s, db.id, {_POSITIONAL.format(a='da.s', b='db.s')} AS score
+  FROM da JOIN db ON least(da.n, db.n)::DOUBLE / greatest(da.n, db.n) >= 0.9 AND {_POSITIONAL.format(a='da.s', b='db.s')} >= 0.9),
+hits AS (SELECT * FROM sure UNION ALL SELECT fund_id, id, 2, score FROM fa JOIN nr USING (s)),
 named AS (SELECT fund_id, id, how, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY how, score DESC, id) AS k FROM hits) WHERE k = 1)"""
 
 
-def sought(spark, d):
-    return L.search_funds(table(spark, d, "vehicles"), SOUGHT), table(spark, d, "notices").filter(L.holds(SOUGHT, "entityname", "related_names"))
-
-
 def named(spark, d):
-    return L.best_named(*sought(spark, d))
+    return L.best_named(table(spark, d, "vehicles"), table(spark, d, "notices"))
 
 
 @query("jn23_best_named", f", {_NAMED} SELECT * FROM named", "vehicles", "notices")
@@ -272,15 +274,14 @@ def jn23(spark, d):
     return named(spark, d)
 
 
-_COMBINED = f"""fs AS (SELECT id, entityname, totalofferingamount, investmentfundtype, {_iso('filing_date')} AS filed FROM nf),
-al AS (SELECT fund_name, 'adv' AS source, fund_type, investmentfundtype AS investment_fund_type, totalofferingamount AS form_d_offering_amount, fs.id IS NOT NULL AS has_form_d_match, coalesce({_iso('updated_at')}, filed) AS sort_date, v.fund_id AS o FROM vf v LEFT JOIN named USING (fund_id) LEFT JOIN fs ON fs.id = named.id
+_COMBINED = f"""fs AS (SELECT id, entityname, totalofferingamount, investmentfundtype, {_iso('filing_date')} AS filed FROM notices),
+al AS (SELECT fund_name, 'adv' AS source, fund_type, investmentfundtype AS investment_fund_type, totalofferingamount AS form_d_offering_amount, fs.id IS NOT NULL AS has_form_d_match, coalesce({_iso('updated_at')}, filed) AS sort_date, v.fund_id AS o FROM vehicles v LEFT JOIN named USING (fund_id) LEFT JOIN fs ON fs.id = named.id
   UNION ALL SELECT entityname, 'formd', NULL, investmentfundtype, totalofferingamount, true, filed, id FROM fs WHERE entityname <> '' AND id NOT IN (SELECT id FROM named)),
 combined AS (SELECT * EXCLUDE (o, key, k) FROM (SELECT *, {_display("coalesce(fund_name, '')")} AS key, row_number() OVER (PARTITION BY {_display("coalesce(fund_name, '')")} ORDER BY source = 'adv' DESC, (source = 'adv' AND has_form_d_match) DESC, o) AS k FROM al) WHERE k = 1 AND key <> '')"""
 
 
 def combined(spark, d):
-    funds, filings = sought(spark, d)
-    return L.combined(funds, named(spark, d), filings)
+    return L.combined(table(spark, d, "vehicles"), named(spark, d), table(spark, d, "notices"))
 
 
 @query("wn02_best_of_each_name", f", {_NAMED}, {_COMBINED} SELECT * FROM combined", "vehicles", "notices")

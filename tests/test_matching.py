@@ -36,12 +36,6 @@ def test_candidates(spark):
     assert got == {1: ("Deep Sea 1", "platform_prefix", "AngelList"), 2: ("Bo Orr", "platform_principal", "AngelList"), 3: ("Locus LLC", "series_master", None), 4: ("Alpine", "entity_prefix", None), 5: ("", "entity_prefix", None)}
 
 
-def test_verdicts(spark):
-    hits = spark.createDataFrame([(1, 7, 0.9), (1, 8, 0.5), (2, 7, 0.9), (2, 8, 0.88), (3, 8, 0.9), (3, 7, 0.2), (4, 7, 0.6), (5, 7, 0.1), (6, 7, 0.9), (7, 7, 0.3)], "id int, crd int, score double")
-    matched = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, None), (5, None), (6, 9), (7, 7), (8, 7)], "id int, crd int")
-    assert {r.id: r.verdict for r in matching.match_verdicts(hits, matched).collect()} == {1: "verified", 2: "close_competitor", 3: "wrong_match", 4: "possibly_missed", 5: "unregistered", 6: "match_not_listed", 7: "weak_top_match", 8: "not_listed_at_all"}
-
-
 def test_decisions(spark):
     firms = spark.createDataFrame([(1, "Alpine Capital", "https://alpine.com", 7), (2, "Borealis Fund", None, None)], "id int, name string, website string, crd int")
     rows = [(1, "website_url", "http://www.alpine.com/x", "site", "weak", None, None, 1), (1, "linkedin_company_url", "https://linkedin.com/company/other", "site", None, "website_links_to_linkedin", None, 2), (1, "team_member", "Ann Lee", "site", None, "found_on_candidate_website", None, 3), (1, "team_member", "ann lee ", "external_db:x", None, None, None, 4),
