@@ -99,7 +99,7 @@ _SHOWN = ", ".join(f"{c} AS {a}" for a, c in L.SHOWN.items())
 _ADDRESS = "array_to_string(list_filter([street1, city, stateorcountry, zipcode], lambda x: x <> ''), ', ') AS form_d_address, 'formd' AS source"
 
 
-def _filings_sql(where: str, days: str, limit: int) -> str:
+def _filings_sql(where: str, days: str, limit: int | str) -> str:
     return f"SELECT id, {_SHOWN}, {_ADDRESS} FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(cik, ''), nullif(entityname, '')) ORDER BY {_DAY0} DESC, id DESC) AS k FROM (SELECT * FROM notices WHERE {where} ORDER BY id DESC LIMIT {limit}) WHERE {days}) WHERE k = 1"
 
 
@@ -108,6 +108,12 @@ def pj02(spark, d):
     return L.search_filings(table(spark, d, "notices"), "Series", start="1996-01-01", end="2000-06-30", limit=5000)
 
 
+@query("fl04_filings_between", _filings_sql("true", f"{_DAY0} >= DATE '1996-01-01' AND {_DAY0} <= DATE '1997-06-30'", "ALL"), "notices")
+def fl04_between(spark, d):
+    """Of all filings, not of the newest few by id."""
+    return L.search_filings(table(spark, d, "notices"), start="1996-01-01", end="1997-06-30", limit=None)
+
+
 @query("wn01_latest_or_named", _filings_sql("stateorcountry = 'CA'", "true", 1000), "notices")
 def wn01(spark, d):
     return L.search_filings(table(spark, d, "notices"), state="CA")
