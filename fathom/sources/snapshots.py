@@ -76,10 +76,10 @@ def _manifest(root: str, note: str, **about) -> dict:
     return {"number": known[-1]["number"] + 1 if known else 1, "created": datetime.now(UTC).isoformat(), "note": note, **about}
 
 
-def publish(df: DataFrame, root: str, note: str = "", parts: str | None = None) -> dict:
+def publish(df: DataFrame, root: str, note: str = "", parts: str | None = None, emptied: tuple = ()) -> dict:
     """Replaces the table at root by df and returns the manifest; with parts (a column), only the values of it that df has.
 
-    Null values of parts are a part of their own.
+    Null values of parts are a part of their own.  Parts of the values in emptied go even if df has nothing for them.
     """
     spark, data = df.sparkSession, f"{root}/data/{uuid.uuid4().hex}"
     paths: dict[str, str] = {}
@@ -87,11 +87,12 @@ def publish(df: DataFrame, root: str, note: str = "", parts: str | None = None)
         df.write.parquet(data)
         paths[""] = data
     else:
-        key = F.coalesce(F.concat(F.lit("="), F.col(parts).cast("string")), F.lit("null"))
-        keyed = df.withColumn("_part", F.sha2(key, 256))
+        name = lambda value: F.sha2(F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null")), 256)
+        keyed = df.withColumn("_part", name(F.col(parts)))
         keyed.write.partitionBy("_part").parquet(data)
         old = versions(root)
-        paths |= old[-1]["paths"] if old else {}
+        gone = set(spark.range(1).select(*(name(F.lit(v)).alias(str(i)) for i, v in enumerate(emptied))).first()) if emptied else set()
+        paths |= {p: path for p, path in old[-1]["paths"].items() if p not in gone} if old else {}
         # a folder for each part that df has
         paths |= {p: f"{data}/_part={p}" for p in _folders(data)}
     about = {"schema": df.schema.jsonValue(), "paths": paths}

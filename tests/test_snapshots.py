@@ -56,6 +56,8 @@ def test_parts(spark, root):
     S.publish(rows(spark, A, B, C), root, parts="kind")
     S.publish(rows(spark, (9, "y", None, None), (8, None, None, None), (7, "null", None, None)), root, parts="kind")
     assert ids(S.read(spark, root, verify=True)) == [1, 7, 8, 9] and ids(S.read(spark, root, 1, verify=True)) == [1, 2, 3]
+    S.publish(rows(spark, (6, "x", None, None)), root, parts="kind", emptied=("y", "x", None))
+    assert ids(S.read(spark, root, verify=True)) == [6, 7]
 
 
 def test_damage_is_seen(spark, root, tmp_path):
