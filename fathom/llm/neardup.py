@@ -220,19 +220,20 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Written table of those of the written pairs (a, b) whose sets (id, shingles) have the similarity."""
-    # a set of many pairs is dealt out in copies, on whichever side it stands
+    # a set of many pairs is dealt out in copies, on whichever side it stands; few sets are
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    salts = store.written(ends.groupBy("id").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")), "salts")
-    dealt = sets.join(few(salts), "id").select("id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "shingles")
+    hot = store.written(ends.groupBy("id").count().filter(F.col("count") > HOT).select("id", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "hot")
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = sets.join(few(hot), "id", "left").select("id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "shingles")
     left = dealt.select(F.col("id").alias("a"), F.col("salt").alias("salt_a"), F.col("shingles").alias("of_a"))
     right = dealt.select(F.col("id").alias("b"), F.col("salt").alias("salt_b"), F.col("shingles").alias("of_b"))
-    salt = lambda end, other: F.pmod(F.xxhash64(other), F.col("salts")).cast("int").alias(f"salt_{end}")
-    salted = pairs.join(few(salts.withColumnRenamed("id", "a")), "a").select("a", "b", salt("a", "b"))
-    salted = salted.join(few(salts.withColumnRenamed("id", "b")), "b").select("a", "b", "salt_a", salt("b", "a"))
+    salt = lambda end, other: F.pmod(F.xxhash64(other), salts).cast("int").alias(f"salt_{end}")
+    salted = pairs.join(few(hot.withColumnRenamed("id", "a")), "a", "left").select("a", "b", salt("a", "b"))
+    salted = salted.join(few(hot.withColumnRenamed("id", "b")), "b", "left").select("a", "b", "salt_a", salt("b", "a"))
     both = salted.join(right, ["b", "salt_b"]).join(left, ["a", "salt_a"]).withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
     alike = 100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))
     links = store.written(both.filter(alike).select("a", "b").distinct(), "links")
-    store.discard(salts)
+    store.discard(hot)
     return links
 
 
