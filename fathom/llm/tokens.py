@@ -18,7 +18,7 @@ from operator import not_
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 BLOCK_PIECES = 2_000
 
 
