@@ -141,7 +141,11 @@ def portfolio_names(html: Column, most: int = 50) -> Column:
 
 
 def site_choice(results: Column, name: Column) -> Column:
-    """Which of a list of results (url, title) are a firm's own site: domains with a word of its name among the first five; else titles with its first word among the first eight."""
+    """Which of a list of results (url, title) are a firm's own site: domains with a word of its name among the first five; else titles with its first word among the first eight.
+
+    A third look, for domains with a telling word among the first three, can't find what the first didn't: those are
+    words of the name as well.
+    """
     short = F.trim(F.regexp_replace(F.lower(name), r",?\s*(lp|llc|l\.p\.|l\.l\.c\.|ltd|limited|inc)\s*$", ""))
     words = F.filter(F.split(short, " "), lambda w: F.length(w) > 3)
     good = lambda r: ~web.is_blocked(r["url"]) & ~web.is_file(r["url"]) & ~web.is_article(r["url"]) & web.is_homepage(r["url"])

@@ -8,6 +8,7 @@ from fathom.functions import formats
 from fathom.functions import names as N
 from fathom.functions import scalars as V
 from fathom.functions import text as T
+from fathom.functions import web
 from fathom.plans.catalog import query
 from fathom.plans.issues import _person
 from fathom.plans.lists import _DAY, _DAY0, _iso
@@ -120,9 +121,11 @@ def js04(spark, d):
     return table(spark, d, "records").select("id", F.to_json(bag, {"ignoreNullFields": "false"}).alias("evidence"))
 
 
-@query("ht06_titled_persons", "SELECT id, trim(string_split(t, ' - ')[1]) AS name FROM (SELECT id, coalesce(owner_full_name, '') || ' - ' || coalesce(title_or_status, 'Partner') || ' - Firm' AS t FROM owners)", "owners")
+@query("ht06_titled_persons", """
+SELECT id, trim(p[1]) AS name, trim(p[2]) AS title, trim(p[3]) AS company
+FROM (SELECT id, string_split(coalesce(owner_full_name, '') || CASE WHEN id % 5 <> 0 THEN ' - ' || coalesce(title_or_status, 'Partner') || CASE WHEN id % 4 <> 0 THEN ' - Firm ' || firm_crd ELSE '' END ELSE '' END, ' - ') AS p FROM owners)""", "owners")
 def ht06(spark, d):
-    text = F.concat(F.coalesce("owner_full_name", F.lit("")), F.lit(" - "), F.coalesce("title_or_status", F.lit("Partner")), F.lit(" - Firm"))
-    return table(spark, d, "owners").select("id", F.trim(F.get(F.split(text, " - "), F.lit(0))).alias("name"))
-
-
+    """Titles of search results of three, two or one parts."""
+    company = F.when(F.col("id") % 4 != 0, F.concat(F.lit(" - Firm "), F.col("firm_crd").cast("string"))).otherwise("")
+    rest = F.when(F.col("id") % 5 != 0, F.concat(F.lit(" - "), F.coalesce("title_or_status", F.lit("Partner")), company)).otherwise("")
+    return table(spark, d, "owners").select("id", web.titled_person(F.concat(F.coalesce("owner_full_name", F.lit("")), rest)).alias("p")).select("id", "p.*")

@@ -81,4 +81,12 @@ FROM customer""",
     "investors_b": f"""
 SELECT {word(f'{P} * 2')} || CASE {P} % 2 WHEN 0 THEN ' VENTURES, L.L.C.' ELSE ' capital' END AS investor_name, CASE WHEN {P} % 2 = 0 THEN 'https://list/' || {P} END AS website_url, CASE WHEN {P} % 4 = 0 THEN 'c' || {P} || '@list.io' END AS primary_contact_email
 FROM part""",
+    # pages with what sites of firms hold beside their text
+    "firm_pages": f"""
+SELECT page_id, url, html || CASE page_id % 5
+    WHEN 0 THEN '<div class="team"><b>Ann Lee</b> <A HREF="https://www.linkedin.com/in/ann-lee-' || page_id || '/?x=1">me</A> <a href=https://linkedin.com/company/Alpine-' || page_id || '>us</a><img alt="Bob Ray Dow"><a href="http://linkedin.com/in/bob-dow">Bob &amp; more</a> <a href="https://linkedin.com/in/BOB-DOW/">again</a></div>'
+    WHEN 1 THEN '<ul><li><a href="https://www.' || {word('page_id')} || '.com/" title="x">  {chr(10)}<i>Firm</i> &#39;' || page_id || '&#x27; &lt;x&gt; </a></li><li><a class=q href="' || {word('page_id')} || '.pdf">Login</a><a href="//cdn.example.org/a/b/c/d">' || page_id || '</a><a href="#top">Top of it</a></li></ul><!-- <a href="/hidden">no</a> -->'
+    WHEN 2 THEN '<div class="portfolio-item"><p>x</p><h3> Delta ' || page_id || ' </h3></div><script>var a = {{"name": "Echo Works"}};</script><a href="https://x.io/about">Fjord ' || (page_id % 7) || '</a><a name="n">none</a>'
+    ELSE '' END AS html
+FROM pages""",
 }

@@ -68,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in RECIPES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     recipe = RECIPES[name].replace("{iso}", _SPARK["iso"]).replace("{dmy}", _SPARK["dmy"]).replace("{", "{{").replace("}", "}}")
-    bases = [t for t in ("supplier", "nation", "part", "lineitem", "orders", "customer") if f"FROM {t}" in recipe or f"JOIN {t}" in recipe]
+    bases = [t for t in ("supplier", "nation", "part", "lineitem", "orders", "customer", "pages") if f"FROM {t}" in recipe or f"JOIN {t}" in recipe]
     return spark.sql(recipe_over(recipe, bases), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in bases})
 
 
