@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import formats
@@ -12,6 +12,7 @@ from fathom.functions import text as T
 from fathom.operators import matching as M
 from fathom.operators import registry as R
 from fathom.operators.core import newest_per
+from fathom.sources import work
 
 COLUMNS = ("discrepancy_type", "severity", "adviser_crd", "form_d_cik", "description", "metadata")
 #: Types of funds that break the venture exemption; and how older detectors find them.
@@ -19,6 +20,17 @@ NOT_VENTURE = "hedge fund|private equity fund|real estate fund|liquidity fund|se
 NOT_VENTURE_OLD = "private equity|hedge|real estate|credit|buyout"
 #: Lists inside an issue have so many items.
 SHOWN = 5
+#: What issues say, as users read and search it; {} are values.
+TEXTS = {
+    "needs_initial_adv_filing": 'Manager "{}" has {} Form D filing(s) since {} but has not filed Form ADV ({} days since first filing, verified against ADV database)',
+    "overdue_annual_amendment": 'Manager "{}" has not filed current year ADV amendment (last filing: {})',
+    "filings_since": ". {} Form D filings since then.",
+    "vc_exemption_violation": 'Manager "{}" claims VC exemption (203(l)-1) but manages {} non-VC fund(s): {}',
+    "fund_type_mismatch": 'Fund type mismatch for "{}": ADV reports "{}", Form D reports "{}"',
+    "missing_by_number": 'Fund "{}" (Form D filed {}) has file number {} listed in ADV fund "{}" but Form D not matched to ADV fund record',
+    "missing_by_name": 'Fund "{}" filed Form D on {} but not in latest Form ADV ({}) for "{}"',
+    "exemption_mismatch": 'Exemption mismatch for "{}": ADV reports 3(c)(1)={}, 3(c)(7)={}; Form D reports 3(c)(1)={}, 3(c)(7)={}',
+}
 
 
 def said(form: str, *values: Column) -> Column:
@@ -36,15 +48,22 @@ def issues(rows: DataFrame, kind: str, severity: Column | str, crd: Column, cik:
     return rows.select(F.lit(kind).alias("discrepancy_type"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), crd.cast("long").alias("adviser_crd"), cik.cast("string").alias("form_d_cik"), description.alias("description"), bag.alias("metadata"))
 
 
+def shown(rows: DataFrame, key: str, value: str, *order: Column | str, to: str) -> DataFrame:
+    """key and the first SHOWN values of its rows in an order that is total; no more rows of a key ever come together."""
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= SHOWN)
+    return few.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda x: x["v"]).alias(to))
+
+
 def overdue(matches: DataFrame, filings: DataFrame, due_year: int) -> DataFrame:
     """Advisers whose latest year with values is before due_year, with their filings of later years."""
     known = matches.filter("adviser_entity_crd IS NOT NULL").groupBy(F.col("adviser_entity_crd").alias("crd")).agg(F.min("adviser_name").alias("name"), F.max("latest_adv_year").alias("latest")).filter(F.col("latest") < due_year)
     filed = matches.select(F.col("adviser_entity_crd").alias("crd"), "accessionnumber").distinct().join(filings.select("accessionnumber", F.col("cik").cast("string").alias("cik"), F.year(T.mixed_date(F.col("filing_date"))).alias("year")), "accessionnumber")
-    later = known.join(filed, "crd").filter(F.col("year") > F.col("latest")).groupBy("crd").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("accessionnumber")).alias("all"), F.min_by("cik", "accessionnumber").alias("cik"))
+    after = known.join(filed, "crd").filter(F.col("year") > F.col("latest"))
+    later = after.groupBy("crd").agg(F.count("*").alias("n"), F.min_by("cik", "accessionnumber").alias("cik")).join(shown(after, "crd", "accessionnumber", "accessionnumber", to="all"), "crd", "left")
     rows = known.join(later, "crd", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     c = F.col
-    more = F.when(c("n") > 0, said(". {} filings since then.", c("n"))).otherwise("")
-    return issues(rows, "overdue_annual_amendment", "high", c("crd"), c("cik"), F.concat(said('Adviser "{}" last filed for {}', c("name"), c("latest")), more), adviser_name=c("name"), latest_adv_year=c("latest"), form_d_count_after_adv=c("n"), form_d_filings_after_adv=F.coalesce(F.slice("all", 1, SHOWN), F.array().cast("array<string>")))
+    more = F.when(c("n") > 0, said(TEXTS["filings_since"], c("n"))).otherwise("")
+    return issues(rows, "overdue_annual_amendment", "high", c("crd"), c("cik"), F.concat(said(TEXTS["overdue_annual_amendment"], c("name"), c("latest")), more), adviser_name=c("name"), latest_adv_year=c("latest"), form_d_count_after_adv=c("n"), form_d_filings_after_adv=F.coalesce("all", F.array().cast("array<string>")))
 
 
 def not_venture(kind: Column) -> Column:
@@ -67,11 +86,13 @@ def venture_violations(advisers: DataFrame, funds: DataFrame, filings: DataFrame
     sizes = theirs.groupBy("crd").agg(F.count("*").alias("total"))
     bad = theirs.filter("bad")
     kinds = bad.groupBy("crd", "kind").agg(F.count("*").alias("n")).groupBy("crd").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list(said("{} {}", F.col("n"), F.col("kind")))), ", ").alias("breakdown"))
-    first = bad.groupBy("crd").agg(F.min_by(F.struct("fund_name", "kind", "file_num"), "fund_id").alias("p"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("fund_id", "fund_name"))), lambda x: x["fund_name"]), 1, SHOWN).alias("sample"))
+    first = bad.groupBy("crd").agg(F.min_by(F.struct("fund_name", "kind", "file_num"), "fund_id").alias("p")).join(shown(bad, "crd", "fund_name", "fund_id", to="sample"), "crd")
     numbers = filings.filter("file_num IS NOT NULL").groupBy("file_num").agg(F.max_by(F.col("cik").cast("string"), "id").alias("cik"))
-    rows = claims.join(kinds, "crd").join(sizes, "crd").join(first, "crd").select("*", F.col("p.file_num").alias("file_num")).join(numbers, "file_num", "left").join(first_ciks(matches, filings), "crd", "left")
+    named = matches.select(F.col("adviser_entity_crd").alias("crd"), "accessionnumber").join(filings.select("accessionnumber", F.col("cik").cast("string").alias("other")), "accessionnumber").filter("other <> ''")
+    named = named.groupBy("crd").agg(F.min_by("other", "accessionnumber").alias("other"))
+    rows = claims.join(kinds, "crd").join(sizes, "crd").join(first, "crd").select("*", F.col("p.file_num").alias("file_num")).join(numbers, "file_num", "left").join(named, "crd", "left")
     c = F.col
-    return issues(rows, "vc_exemption_violation", "critical", c("crd"), F.coalesce(F.nullif("cik", F.lit("")), F.get("ciks", F.lit(0))), said('Adviser "{}" claims the venture exemption but has {} other fund(s): {}', c("adviser_name"), c("n"), c("breakdown")),
+    return issues(rows, "vc_exemption_violation", "critical", c("crd"), F.coalesce(F.nullif("cik", F.lit("")), "other"), said(TEXTS["vc_exemption_violation"], c("adviser_name"), c("n"), c("breakdown")),
                   exemption_claimed=F.lit("vc_203l1"), non_vc_fund_count=c("n"), total_funds=c("total"), primary_fund_name=c("p.fund_name"), primary_fund_type=c("p.kind"), primary_fund_form_d_file_num=c("file_num"), primary_formd_cik=F.nullif("cik", F.lit("")), sample_non_vc_funds=c("sample"))
 
 
@@ -80,17 +101,26 @@ def type_mismatches(matches: DataFrame, funds: DataFrame, filings: DataFrame, eq
     rows = matches.filter("fund_type <> '' AND investmentfundtype <> ''").filter(~formats.same_kind(F.col("fund_type"), F.col("investmentfundtype"), equal_is_same))
     rows = rows.join(funds.select("fund_id", "fund_name"), "fund_id").join(filings.select("accessionnumber", "entityname", F.col("cik").cast("string").alias("cik"), "filing_date"), "accessionnumber")
     c = F.col
-    return issues(rows, "fund_type_mismatch", "medium", c("adviser_entity_crd"), c("cik"), said('Types of "{}" differ: {} and, as filed, {}', c("fund_name"), c("fund_type"), c("investmentfundtype")),
+    return issues(rows, "fund_type_mismatch", "medium", c("adviser_entity_crd"), c("cik"), said(TEXTS["fund_type_mismatch"], c("fund_name"), c("fund_type"), c("investmentfundtype")),
                   adv_fund_name=c("fund_name"), formd_entity_name=c("entityname"), adv_fund_type=c("fund_type"), formd_fund_type=c("investmentfundtype"), formd_accession=c("accessionnumber"), formd_filing_date=c("filing_date"), adviser_name=c("adviser_name"))
 
 
-def missing_funds(by_number: DataFrame, by_name: DataFrame, filings: DataFrame) -> DataFrame:
-    """Two detectors' filings (accessionnumber, crd) as one: each filing once, by its number rather than by name."""
+def missing_funds(by_number: DataFrame, by_name: DataFrame, filings: DataFrame, funds: DataFrame, advisers: DataFrame, matches: DataFrame) -> DataFrame:
+    """Two detectors' filings (accessionnumber, crd) as one: each filing once, by its number rather than by name.
+
+    One found by its number names the adviser's first fund that lists it, one found by name the adviser and its latest year.
+    """
     both = by_number.select("accessionnumber", "crd", F.lit("form_d_file_number").alias("way"), F.lit(0).alias("o")).unionByName(by_name.select("accessionnumber", "crd", F.lit("name_matching").alias("way"), F.lit(1).alias("o")))
     once = both.groupBy("accessionnumber").agg(F.min_by(F.struct("crd", "way"), F.struct("o", "crd")).alias("b")).select("accessionnumber", "b.*")
     rows = once.join(filings.select("accessionnumber", "entityname", F.col("cik").cast("string").alias("cik"), "filing_date", "file_num"), "accessionnumber")
+    listed = funds.select(F.col("adviser_entity_crd").alias("crd"), "fund_id", "fund_name", F.explode(T.listed(F.col("form_d_file_number"))).alias("file_num"))
+    listed = listed.groupBy("crd", "file_num").agg(F.min_by("fund_name", "fund_id").alias("adv_fund"))
+    latest = matches.groupBy(F.col("adviser_entity_crd").alias("crd")).agg(F.max("latest_adv_year").alias("latest"))
+    rows = rows.join(listed, ["crd", "file_num"], "left").join(advisers.groupBy("crd").agg(F.min("adviser_name").alias("adviser")), "crd", "left").join(latest, "crd", "left")
     c = F.col
-    return issues(rows, "missing_fund_in_adv", "medium", c("crd"), c("cik"), said('Fund "{}" filed on {} is in no list of the adviser', c("entityname"), c("filing_date")), detection_strategy=c("way"), fund_name=c("entityname"), form_d_file_number=c("file_num"), formd_accession=c("accessionnumber"))
+    text = F.when(c("way") == "form_d_file_number", said(TEXTS["missing_by_number"], c("entityname"), c("filing_date"), c("file_num"), c("adv_fund")))
+    text = text.otherwise(said(TEXTS["missing_by_name"], c("entityname"), c("filing_date"), c("latest"), c("adviser")))
+    return issues(rows, "missing_fund_in_adv", "medium", c("crd"), c("cik"), text, detection_strategy=c("way"), fund_name=c("entityname"), form_d_file_number=c("file_num"), formd_accession=c("accessionnumber"))
 
 
 def exemption_mismatches(matches: DataFrame, funds: DataFrame, filings: DataFrame) -> DataFrame:
@@ -100,7 +130,7 @@ def exemption_mismatches(matches: DataFrame, funds: DataFrame, filings: DataFram
     rows = rows.select("*", yes("exclusion_3c1").alias("a1"), yes("exclusion_3c7").alias("a7"), T.claims_3c1(F.col("exemptions")).alias("f1"), T.claims_3c7(F.col("exemptions")).alias("f7")).filter("a1 <> f1 OR a7 <> f7")
     c = F.col
     word = lambda x: F.when(c(x), "Y").otherwise("N")
-    return issues(rows, "exemption_mismatch", "high", c("adviser_entity_crd"), F.lit(None), said('Exclusions of "{}" differ: 3(c)(1)={}, 3(c)(7)={} and, as filed, 3(c)(1)={}, 3(c)(7)={}', c("fund_name"), word("a1"), word("a7"), word("f1"), word("f7")),
+    return issues(rows, "exemption_mismatch", "high", c("adviser_entity_crd"), F.lit(None), said(TEXTS["exemption_mismatch"], c("fund_name"), word("a1"), word("a7"), word("f1"), word("f7")),
                   adv_fund_name=c("fund_name"), formd_entity_name=c("entityname"), adv_3c1=c("a1"), adv_3c7=c("a7"), formd_3c1=c("f1"), formd_3c7=c("f7"), formd_accession=c("accessionnumber"))
 
 
@@ -119,15 +149,15 @@ def unregistered(filings: DataFrame, matched: DataFrame, advisers: DataFrame, ow
     rolled = rows.groupBy("manager").agg(
         F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.sum(amount).alias("total"),
         F.min_by(F.struct("cik", "related_names", "related_roles", "stateorcountry", "platform", "source"), newest).alias("x"),
-        F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.unix_date("day")).alias("o"), "id", "entityname"))), lambda f: f["entityname"]), 1, SHOWN).alias("sample"),
     )
+    rolled = rolled.join(shown(rows, "manager", "entityname", F.desc("day"), "id", to="sample"), "manager")
     # the lookups and the result read it; a filter before would be written out below the steps that make the manager
-    rolled = rolled.persist().filter("manager <> ''")
+    rolled = work.written(rolled, "managers").filter("manager <> ''")
     asked = rolled.select(F.col("manager").alias("key"), F.col("manager").alias("name"), "x.related_names", "x.related_roles")
     known = R.search(asked, advisers, owners).select("key").union(R.by_principals(asked, owners, advisers).select("key")).distinct()
     left = rolled.join(known.withColumnRenamed("key", "manager"), "manager", "left_anti").withColumn("tags", M.exemption_tags(F.col("x.stateorcountry"), F.col("x.related_names")))
     days, c = F.date_diff(now, F.col("first")), F.col
-    return issues(left, "needs_initial_adv_filing", F.when(F.size("tags") > 0, "low").otherwise("high"), F.lit(None), c("x.cik"), said('Manager "{}" has filed {} time(s) since {} and is no registered adviser ({} days)', c("manager"), c("n"), c("first"), days),
+    return issues(left, "needs_initial_adv_filing", F.when(F.size("tags") > 0, "low").otherwise("high"), F.lit(None), c("x.cik"), said(TEXTS["needs_initial_adv_filing"], c("manager"), c("n"), c("first"), days),
                   manager_name=c("manager"), fund_count=c("n"), earliest_filing_date=c("first").cast("string"), latest_filing_date=c("last").cast("string"), days_since_first_filing=days, total_offering_amount=c("total").cast("string"), extraction_source=c("x.source"), platform_name=c("x.platform"), likely_exemptions=c("tags"), sample_funds=c("sample"))
 
 
@@ -137,7 +167,8 @@ def audited(flagged: DataFrame, filings: DataFrame, advisers: DataFrame, owners:
     Looked at with the smallest filing of its cik.
     """
     first = newest_per(filings.filter("cik <> ''"), F.col("cik"), F.col("id")).select("cik", "entityname", "related_names", "related_roles", "stateorcountry")
-    rows = flagged.select("manager_name", "cik").join(first, "cik", "left").withColumn("key", F.col("manager_name")).persist()  # the lookups read it
+    rows = flagged.select("manager_name", "cik").join(first, "cik", "left").withColumn("key", F.col("manager_name"))
+    rows = work.written(rows, "flagged")  # the lookups read it
     hit = R.lookup(rows.filter("manager_name <> ''").select("key", F.col("manager_name").alias("name"), "related_names", "related_roles"), advisers, owners).select("key", "source")
     person = R.by_principals(rows.select("key", "related_names"), owners, advisers).select("key", F.lit(True).alias("person"))
     place = F.upper(F.trim("stateorcountry"))

@@ -18,6 +18,7 @@ from fathom.operators import containment
 from fathom.operators import matching as M
 from fathom.operators.core import newest_per
 from fathom.operators.listings import first_text
+from fathom.sources import work
 
 #: Titles of owners who run a firm.
 TITLES = "MANAGING MEMBER|MANAGING PARTNER|MANAGING DIRECTOR|GENERAL PARTNER|PARTNER|PRINCIPAL|FOUNDER|CO-FOUNDER|COFOUNDER|CO FOUNDER|CHIEF EXECUTIVE OFFICER|CEO|PRESIDENT|CHIEF OPERATING OFFICER|COO|CHIEF INVESTMENT OFFICER|CIO|MANAGER|ELECTED MANAGER|DIRECTOR"
@@ -133,7 +134,8 @@ def ladder(rows: DataFrame, with_base: bool = True) -> DataFrame:
 
 def search(rows: DataFrame, advisers: DataFrame, owners: DataFrame, with_base: bool = True) -> DataFrame:
     """key, crd, adviser_name, source and variant: the first variant of a name whose lookup passes the gate.  Rows as in lookup."""
-    tries = ladder(rows, with_base).select(F.struct("key", "place").alias("key"), F.col("variant").alias("name"), "related_names", "related_roles").persist()  # four lookups read it
+    tries = ladder(rows, with_base).select(F.struct("key", "place").alias("key"), F.col("variant").alias("name"), "related_names", "related_roles")
+    tries = work.written(tries, "tries")  # four lookups read it
     hits = tries.select("key", F.col("name").alias("variant"), "related_names").join(lookup(tries, advisers, owners), "key")
     passed = hits.filter(N.gate_result(F.col("variant"), F.col("adviser_name"), F.col("related_names"))["passes"])
     best = passed.groupBy("key.key").agg(F.min_by(F.struct("crd", "adviser_name", "source", "variant"), "key.place").alias("b"))

@@ -19,6 +19,7 @@ from fathom.plans.catalog import _ALL, _DAY, _XREF, DUE, SQL, matches, query
 from fathom.plans.detections import _family, _standard
 from fathom.plans.lists import _DAY0, _KEPT, _MASTER, _NUMBER, _ROLLED, _investor, _text
 from fathom.plans.matching import _GATE_WORDS, _SIGNALS, _TIER, form_sql
+from fathom.sources import work
 from fathom.sources.views import table, with_views
 
 NOW = "2001-06-30"
@@ -31,6 +32,12 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+')
 _PLAIN = r"trim(regexp_replace(regexp_replace(upper(coalesce({0}, '')), '[^\w\s,''-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def _said(kind: str, *values: str) -> str:
+    """The text of an issue with its values."""
+    parts = ["'" + part.replace("'", "''") + "'" for part in I.TEXTS[kind].split("{}")]
+    return " || ".join(x for pair in zip(parts, [f"coalesce({v}::VARCHAR, 'null')" for v in values] + [""]) for x in pair if x)
+
+
 def _person(c: str) -> str:
     """Words of a person's name, the last name last."""
     p = _PLAIN.format(c)
@@ -224,7 +231,7 @@ def unregistered(spark, d):
 
 
 @query("de01_unregistered_managers", f""", {_UNREGISTERED}
-SELECT 'needs_initial_adv_filing' AS discrepancy_type, CASE WHEN len(tags) > 0 THEN 'low' ELSE 'high' END AS severity, NULL::BIGINT AS adviser_crd, cik AS form_d_cik, 'Manager "' || manager || '" has filed ' || n || ' time(s) since ' || first::VARCHAR || ' and is no registered adviser (' || days || ' days)' AS description,
+SELECT 'needs_initial_adv_filing' AS discrepancy_type, CASE WHEN len(tags) > 0 THEN 'low' ELSE 'high' END AS severity, NULL::BIGINT AS adviser_crd, cik AS form_d_cik, {_said('needs_initial_adv_filing', 'manager', 'n', 'first', 'days')} AS description,
   to_json(struct_pack(manager_name := manager, fund_count := n, earliest_filing_date := first::VARCHAR, latest_filing_date := last::VARCHAR, days_since_first_filing := days, total_offering_amount := total::DECIMAL(30,2)::VARCHAR, extraction_source := source, platform_name := platform, likely_exemptions := tags, sample_funds := sample))::VARCHAR AS metadata FROM un""", "notices", "registry", "owners")
 def de01(spark, d):
     return unregistered(spark, d)
@@ -278,7 +285,9 @@ def types(spark, d, m):
 
 def missing(spark, d, m):
     by_number = detectors.missing_funds(*both(spark, d), m, DUE)
-    return I.missing_funds(by_number, detectors.named_in_filings(table(spark, d, "advisers"), table(spark, d, "filings"), m, DUE), table(spark, d, "filings"))
+    funds, filings = both(spark, d)
+    advisers = table(spark, d, "advisers")
+    return I.missing_funds(by_number, detectors.named_in_filings(advisers, filings, m, DUE), filings, funds, advisers, m)
 
 
 def exemptions(spark, d, m):
@@ -294,24 +303,26 @@ _SKIP = "('LLC', 'LP', 'INC', 'CAPITAL', 'PARTNERS', 'MANAGEMENT', 'FUND', 'ADVI
 _PARTS = {
     "overdue_annual_amendment": f"""o1 AS (SELECT adviser_entity_crd AS crd, min(adviser_name) AS name, max(latest_adv_year) AS latest FROM matches WHERE adviser_entity_crd IS NOT NULL GROUP BY 1 HAVING max(latest_adv_year) < {DUE + 1}),
 o2 AS (SELECT DISTINCT adviser_entity_crd AS crd, accessionnumber, cik, year({_DAY}) AS y FROM matches JOIN filings USING (accessionnumber)), o3 AS (SELECT o1.crd, count(*) AS n, list(accessionnumber ORDER BY accessionnumber)[1:5] AS l, arg_min(cik, accessionnumber) AS cik FROM o1 JOIN o2 ON o1.crd = o2.crd AND y > latest GROUP BY o1.crd),
-i1 AS (SELECT 'overdue_annual_amendment' AS discrepancy_type, 'high' AS severity, o1.crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, 'Adviser "' || coalesce(name, 'null') || '" last filed for ' || latest || CASE WHEN coalesce(n, 0) > 0 THEN '. ' || n || ' filings since then.' ELSE '' END AS description,
+i1 AS (SELECT 'overdue_annual_amendment' AS discrepancy_type, 'high' AS severity, o1.crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, {_said('overdue_annual_amendment', 'name', 'latest')} || CASE WHEN coalesce(n, 0) > 0 THEN {_said('filings_since', 'n')} ELSE '' END AS description,
   {_json(adviser_name='name', latest_adv_year='latest', form_d_count_after_adv='coalesce(n, 0)', form_d_filings_after_adv='coalesce(l, CAST([] AS VARCHAR[]))')} AS metadata FROM o1 LEFT JOIN o3 ON o1.crd = o3.crd)""",
     "vc_exemption_violation": f"""v1 AS (SELECT adviser_entity_crd AS crd, fund_id, fund_name, trim(fund_type) AS kind, nullif(list_filter(list_transform(string_split_regex(form_d_file_number, '[;,|]'), lambda x: trim(x)), lambda x: x <> '')[1], '') AS fn, trim(lower(fund_type)) <> '' AND (regexp_matches(lower(fund_type), '{I.NOT_VENTURE}') OR NOT (contains(lower(fund_type), 'venture capital') OR lower(trim(fund_type)) = 'vc')) AS bad FROM funds WHERE adviser_entity_crd IN (SELECT crd FROM advisers WHERE lower(exemption_2b1) IN ('y', 'true'))),
 v2 AS (SELECT crd, string_agg(n || ' ' || kind, ', ' ORDER BY n || ' ' || kind) AS b, sum(n)::BIGINT AS n FROM (SELECT crd, kind, count(*) AS n FROM v1 WHERE bad GROUP BY ALL) GROUP BY crd), v3 AS (SELECT crd, count(*) AS total FROM v1 GROUP BY crd),
 v4 AS (SELECT crd, arg_min(fund_name, fund_id) AS pn, arg_min(kind, fund_id) AS pk, arg_min(fn, fund_id) AS pf, list(fund_name ORDER BY fund_id)[1:5] AS sample FROM v1 WHERE bad GROUP BY crd), v5 AS (SELECT file_num, arg_max(cik, id)::VARCHAR AS cik FROM filings GROUP BY 1),
 v6 AS (SELECT adviser_entity_crd AS crd, arg_min(cik, accessionnumber)::VARCHAR AS fallback FROM matches JOIN filings USING (accessionnumber) GROUP BY 1),
-i2 AS (SELECT 'vc_exemption_violation' AS discrepancy_type, 'critical' AS severity, a.crd::BIGINT AS adviser_crd, coalesce(v5.cik, fallback) AS form_d_cik, 'Adviser "' || adviser_name || '" claims the venture exemption but has ' || n || ' other fund(s): ' || b AS description,
+i2 AS (SELECT 'vc_exemption_violation' AS discrepancy_type, 'critical' AS severity, a.crd::BIGINT AS adviser_crd, coalesce(v5.cik, fallback) AS form_d_cik, {_said('vc_exemption_violation', 'adviser_name', 'n', 'b')} AS description,
   {_json(exemption_claimed="'vc_203l1'", non_vc_fund_count='n', total_funds='total', primary_fund_name='pn', primary_fund_type='pk', primary_fund_form_d_file_num='pf', primary_formd_cik='v5.cik', sample_non_vc_funds='sample')} AS metadata FROM advisers a JOIN v2 USING (crd) JOIN v3 USING (crd) JOIN v4 USING (crd) LEFT JOIN v5 ON v5.file_num = pf LEFT JOIN v6 USING (crd))""",
-    "fund_type_mismatch": f"""i3 AS (SELECT 'fund_type_mismatch' AS discrepancy_type, 'medium' AS severity, m.adviser_entity_crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, 'Types of "' || fund_name || '" differ: ' || m.fund_type || ' and, as filed, ' || m.investmentfundtype AS description,
+    "fund_type_mismatch": f"""i3 AS (SELECT 'fund_type_mismatch' AS discrepancy_type, 'medium' AS severity, m.adviser_entity_crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, {_said('fund_type_mismatch', 'fund_name', 'm.fund_type', 'm.investmentfundtype')} AS description,
   {_json(adv_fund_name='fund_name', formd_entity_name='entityname', adv_fund_type='m.fund_type', formd_fund_type='m.investmentfundtype', formd_accession='m.accessionnumber', formd_filing_date='filing_date', adviser_name='adviser_name')} AS metadata
   FROM matches m JOIN funds USING (fund_id) JOIN filings USING (accessionnumber) WHERE m.fund_type <> '' AND m.investmentfundtype <> '' AND NOT list_has_any(list_filter({_family('m.fund_type')}, lambda x: x IS NOT NULL), list_filter({_family('m.investmentfundtype')}, lambda x: x IS NOT NULL)))""",
     "missing_fund_in_adv": f"""n1 AS (SELECT accessionnumber, min(adviser_entity_crd) AS crd FROM numbers JOIN funds USING (fund_id) JOIN filings ON trim(raw) = file_num WHERE adviser_entity_crd IS NOT NULL AND year({_DAY}) < {DUE} AND accessionnumber NOT IN (SELECT accessionnumber FROM matches) GROUP BY 1),
 kw AS (SELECT crd, list_filter(string_split_regex(upper(adviser_name), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {_SKIP})[1:3] AS w FROM advisers), kinds0 AS (SELECT w, min(crd) AS crd FROM kw GROUP BY w), texts AS (SELECT DISTINCT upper(entityname) AS e FROM filings), hit AS (SELECT e, min(crd) AS crd FROM texts JOIN kinds0 ON len(list_filter(w, lambda x: contains(e, x))) >= 2 GROUP BY e),
 n2 AS (SELECT accessionnumber, crd FROM filings JOIN hit ON upper(entityname) = e WHERE year({_DAY}) < {DUE} AND accessionnumber NOT IN (SELECT accessionnumber FROM matches)),
 n3 AS (SELECT accessionnumber, crd, 'form_d_file_number' AS way FROM n1 UNION ALL SELECT accessionnumber, crd, 'name_matching' FROM n2 WHERE accessionnumber NOT IN (SELECT accessionnumber FROM n1)),
-i5 AS (SELECT 'missing_fund_in_adv' AS discrepancy_type, 'medium' AS severity, crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, 'Fund "' || entityname || '" filed on ' || filing_date || ' is in no list of the adviser' AS description, {_json(detection_strategy='way', fund_name='entityname', form_d_file_number='file_num', formd_accession='accessionnumber')} AS metadata FROM n3 JOIN filings USING (accessionnumber))""",
+fn AS (SELECT adviser_entity_crd AS crd, trim(raw) AS file_num, arg_min(fund_name, fund_id) AS adv_fund FROM numbers JOIN funds USING (fund_id) GROUP BY ALL),
+ly AS (SELECT adviser_entity_crd AS crd, max(latest_adv_year) AS latest FROM matches GROUP BY 1),
+i5 AS (SELECT 'missing_fund_in_adv' AS discrepancy_type, 'medium' AS severity, crd::BIGINT AS adviser_crd, cik::VARCHAR AS form_d_cik, CASE way WHEN 'form_d_file_number' THEN {_said('missing_by_number', 'entityname', 'filing_date', 'filings.file_num', 'adv_fund')} ELSE {_said('missing_by_name', 'entityname', 'filing_date', 'latest', 'adviser_name')} END AS description, {_json(detection_strategy='way', fund_name='entityname', form_d_file_number='filings.file_num', formd_accession='accessionnumber')} AS metadata FROM n3 JOIN filings USING (accessionnumber) LEFT JOIN fn USING (crd, file_num) LEFT JOIN ly USING (crd) LEFT JOIN (SELECT crd, adviser_name FROM advisers) USING (crd))""",
     "exemption_mismatch": f"""x1 AS (SELECT m.adviser_entity_crd, fund_name, entityname, accessionnumber, {_YES.format('exclusion_3c1')} AS a1, {_YES.format('exclusion_3c7')} AS a7, coalesce(contains(lower(exemptions), '3c.1') OR contains(lower(exemptions), '3(c)(1)') OR (contains(lower(exemptions), '3c') AND NOT contains(lower(exemptions), '3c.7') AND NOT contains(lower(exemptions), '3(c)(7)')), false) AS f1, coalesce(contains(lower(exemptions), '3c.7') OR contains(lower(exemptions), '3(c)(7)'), false) AS f7 FROM matches m JOIN funds USING (fund_id) JOIN filings USING (accessionnumber)),
-i6 AS (SELECT 'exemption_mismatch' AS discrepancy_type, 'high' AS severity, adviser_entity_crd::BIGINT AS adviser_crd, NULL::VARCHAR AS form_d_cik, 'Exclusions of "' || fund_name || '" differ: 3(c)(1)=' || CASE WHEN a1 THEN 'Y' ELSE 'N' END || ', 3(c)(7)=' || CASE WHEN a7 THEN 'Y' ELSE 'N' END || ' and, as filed, 3(c)(1)=' || CASE WHEN f1 THEN 'Y' ELSE 'N' END || ', 3(c)(7)=' || CASE WHEN f7 THEN 'Y' ELSE 'N' END AS description,
+i6 AS (SELECT 'exemption_mismatch' AS discrepancy_type, 'high' AS severity, adviser_entity_crd::BIGINT AS adviser_crd, NULL::VARCHAR AS form_d_cik, {_said('exemption_mismatch', 'fund_name', *(f"CASE WHEN {x} THEN 'Y' ELSE 'N' END" for x in ('a1', 'a7', 'f1', 'f7')))} AS description,
   {_json(adv_fund_name='fund_name', formd_entity_name='entityname', adv_3c1='a1', adv_3c7='a7', formd_3c1='f1', formd_3c7='f7', formd_accession='accessionnumber')} AS metadata FROM x1 WHERE a1 <> f1 OR a7 <> f7)""",
 }
 _NAMES = {"overdue_annual_amendment": ("de02_overdue_issues", "i1", overdue), "vc_exemption_violation": ("de03_venture_issues", "i2", violations), "fund_type_mismatch": ("de04_type_issues", "i3", types), "missing_fund_in_adv": ("de05_missing_issues", "i5", missing), "exemption_mismatch": ("de06_exemption_issues", "i6", exemptions)}
@@ -326,7 +337,7 @@ for _kind, (_name, _cte, _make) in _NAMES.items():
 
 def every_issue(spark, d):
     """Issues of all six detectors; the cross-reference is made once and kept for them."""
-    m = matches(spark, d).persist()
+    m = work.written(matches(spark, d), "matches")
     return I.all_of(unregistered(spark, d), *(make(spark, d, m) for _, _, make in _NAMES.values()))
 
 
@@ -337,7 +348,7 @@ _UNION = " UNION ALL ".join(f"SELECT discrepancy_type, severity, adviser_crd, de
 
 @query("de08_five_detectors")
 def de08(spark, d):
-    m = matches(spark, d).persist()
+    m = work.written(matches(spark, d), "matches")
     return I.all_of(*(make(spark, d, m) for _, _, make in _NAMES.values())).select("discrepancy_type", "severity", "adviser_crd", "description", "rank")
 
 
@@ -350,7 +361,7 @@ def st03(spark, d):
 
 
 _UN = _UNREGISTERED.replace("matched", "nmatched")
-SQL["st03_six_detectors"] = f"""{_EVERY}, {_UN}, iu AS (SELECT 'needs_initial_adv_filing' AS discrepancy_type, CASE WHEN len(tags) > 0 THEN 'low' ELSE 'high' END AS severity, NULL::BIGINT AS adviser_crd, 'Manager "' || manager || '" has filed ' || n || ' time(s) since ' || first::VARCHAR || ' and is no registered adviser (' || days || ' days)' AS description FROM un)
+SQL["st03_six_detectors"] = f"""{_EVERY}, {_UN}, iu AS (SELECT 'needs_initial_adv_filing' AS discrepancy_type, CASE WHEN len(tags) > 0 THEN 'low' ELSE 'high' END AS severity, NULL::BIGINT AS adviser_crd, {_said('needs_initial_adv_filing', 'manager', 'n', 'first', 'days')} AS description FROM un)
 SELECT *, {_RANK} FROM ({_UNION} UNION ALL SELECT * FROM iu)"""
 
 
