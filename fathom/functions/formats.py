@@ -26,6 +26,14 @@ def currency(value: Column) -> Column:
     return out.otherwise(F.format_string("$%.0f", n))
 
 
+def full_currency(value: Column) -> Column:
+    """$ and whole dollars with commas; N/A for none; Indefinite stays."""
+    text = value.cast("string")
+    n = F.round(T.amount(text))
+    dollars = F.concat(F.when(n < 0, "-$").otherwise("$"), F.format_number(F.abs(n), 0))
+    return F.when(F.lower(text) == "indefinite", "Indefinite").when(n.isNull(), "N/A").otherwise(dollars)
+
+
 def signed_percent(value: Column) -> Column:
     """One decimal and a sign; null for null and NaN."""
     return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%+.1f%%", value))

@@ -38,6 +38,13 @@ def mixed_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "d-MMM-yyyy"))
 
 
+def loose_date(text: Column) -> Column:
+    """The first d-MMM-yyyy anywhere in a text, else the date that it is as a whole: ISO with or without a time, month/day/year, or a month's name first; null for others."""
+    inside = F.try_to_date(F.regexp_extract(text, r"(?i)(\d{1,2}-(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-\d{4})", 1), "d-MMM-yyyy")
+    iso = F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$", 1), "yyyy-MM-dd")
+    return F.coalesce(inside, iso, F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "MMM d, yyyy"), F.try_to_date(text, "MMMM d, yyyy"))
+
+
 def filing_date(text: Column) -> Column:
     """mixed_date; missing and unreadable ones are the first day of 1970."""
     return F.coalesce(mixed_date(text), F.lit("1970-01-01").cast("date"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import names as N
 from fathom.functions import text as T
+from fathom.operators import registry as R
 from fathom.operators.listings import first_text
 
 #: Roles of those who serve a fund, and roles of those who run it.
@@ -140,3 +141,30 @@ def merged_team(old: DataFrame, new: DataFrame) -> DataFrame:
     key = lambda rows, t: rows.filter("name <> ''").groupBy("id", F.lower(F.trim("name")).alias("k")).agg(F.min(F.struct("name", "title", "email")).alias(t))
     both = key(old, "a").join(key(new, "b"), ["id", "k"], "full_outer")
     return both.select("id", *(first_text(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in ("name", "title", "email")))
+
+
+def unregistered(managers: DataFrame, advisers: DataFrame, owners: DataFrame) -> DataFrame:
+    """managers (series_master) that no lookup of the register finds: the register has the contacts of the others."""
+    asked = managers.select(F.col("series_master").alias("key"), F.col("series_master").alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("related_names", "related_roles")))
+    known = R.lookup(asked, advisers, owners).select(F.col("key").alias("series_master"))
+    return managers.join(known, "series_master", "left_anti")
+
+
+def backfilled(records: DataFrame, found: DataFrame) -> DataFrame:
+    """What profiles on a record's site add to it: id, linkedin_company_url (the site's, else the old one), team (array of name and linkedin), n_added and changed.
+
+    records: id, linkedin_company_url and team; found: id, company and persons (url, name).  A person of the site is added
+    at the end if it has a name and no member's profile holds its user; members stay as they are.
+    """
+    none = F.array().cast("array<struct<name: string, linkedin: string>>")
+    rows = records.join(found, "id", "left").withColumn("team", F.coalesce("team", none))
+    user = lambda p: F.lower(F.get(F.split(p["url"], "/in/"), F.lit(1)))
+
+    def add(team: Column, p: Column) -> Column:
+        there = F.exists(team, lambda m: F.coalesce(F.contains(F.lower(m["linkedin"]), user(p)), F.lit(False)))
+        return F.when(there | p["name"].isNull(), team).otherwise(F.concat(team, F.array(F.struct(p["name"].alias("name"), p["url"].alias("linkedin")))))
+
+    people = F.coalesce("persons", F.array().cast("array<struct<url: string, name: string>>"))
+    rows = rows.withColumn("all", F.aggregate(people, F.col("team"), add))
+    added = F.size("all") - F.size("team")
+    return rows.select("id", F.coalesce("company", "linkedin_company_url").alias("linkedin_company_url"), F.col("all").alias("team"), added.alias("n_added"), (F.col("company").isNotNull() | (added > 0)).alias("changed"))
