@@ -172,7 +172,7 @@ def audited(flagged: DataFrame, filings: DataFrame, advisers: DataFrame, owners:
     hit = R.lookup(rows.filter("manager_name <> ''").select("key", F.col("manager_name").alias("name"), "related_names", "related_roles"), advisers, owners).select("key", "source")
     person = R.by_principals(rows.select("key", "related_names"), owners, advisers).select("key", F.lit(True).alias("person"))
     place = F.upper(F.trim("stateorcountry"))
-    abroad = F.coalesce((place != "") & ~place.isin(*M.HOME, *R.TERRITORIES), F.lit(False))
+    abroad = F.coalesce((place != "") & ~place.isin(*M.HOME), F.lit(False))
     platform = F.size(M.signals(F.coalesce("entityname", F.lit("")), F.coalesce("related_names", F.lit("")))) > 0
     verdict = F.when(F.coalesce("manager_name", F.lit("")) == "", "INCONCLUSIVE").when(F.col("entityname").isNotNull() & platform, "PLATFORM_FILING").when(abroad, "LIKELY_FOREIGN")
     verdict = verdict.when(F.col("source").isin("adviser_owners", "database_related_person"), "LIKELY_FP_PRINCIPAL").when(F.col("source").isNotNull(), "LIKELY_FP_NAME").when(F.col("person"), "LIKELY_FP_PRINCIPAL")

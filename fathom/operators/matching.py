@@ -30,8 +30,8 @@ PLATFORMS: dict[str, tuple[list[str], list[str]]] = {
 }
 #: Roles of people who run a firm.
 ROLES = "EXECUTIVE OFFICER|OFFICER|DIRECTOR|PROMOTER|GENERAL PARTNER|GP|MANAGING MEMBER|MANAGER|MANAGING DIRECTOR|MANAGING PARTNER"
-#: Codes of states, and the country's names.
-HOME = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC US USA".split() + ["UNITED STATES"]
+#: Codes of states and territories, and the country's names.
+HOME = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR VI GU AS MP US USA".split() + ["UNITED STATES"]
 #: Legal endings that aren't surnames.
 ENDINGS = r"LLC|L\.L\.C\.|LP|L\.P\.|LLP|LTD|LIMITED|INC|INCORPORATED|CORP|CORPORATION|GP|LLLP|PLLC|PLC|SA|AG|GMBH|BV|NV|TRUST|TRUSTEE"
 

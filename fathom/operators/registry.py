@@ -24,8 +24,6 @@ from fathom.sources import work
 TITLES = "MANAGING MEMBER|MANAGING PARTNER|MANAGING DIRECTOR|GENERAL PARTNER|PARTNER|PRINCIPAL|FOUNDER|CO-FOUNDER|COFOUNDER|CO FOUNDER|CHIEF EXECUTIVE OFFICER|CEO|PRESIDENT|CHIEF OPERATING OFFICER|COO|CHIEF INVESTMENT OFFICER|CIO|MANAGER|ELECTED MANAGER|DIRECTOR"
 #: Hosts that are no firm's own site.
 NOISY = ("instagram", "facebook", "twitter", "linkedin", "youtube", "plynk", "apple.com", "play.google")
-#: Territories, which count as home in an audit.
-TERRITORIES = ("PR", "VI", "GU", "AS", "MP", "US")
 #: Words of names of funds, which are no managers; roles of those who serve a fund.
 FUND_WORDS = "FUND|SERIES|PORTFOLIO|FEEDER|MASTER|OFFSHORE|ONSHORE|PARALLEL|SPV|VEHICLE|TRANCHE|CLASS"
 SERVANTS = "admin|custod|legal|counsel|account|audit|attorney|compliance"

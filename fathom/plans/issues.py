@@ -242,7 +242,7 @@ fsrc AS (SELECT manager AS id, entityname, related_names, related_roles, stateor
 a1 AS (SELECT id, list_filter(list_transform(string_split(coalesce(related_names, ''), '|'), lambda x: trim(x)), lambda x: length(x) > 3)[1:5] AS ps FROM fsrc), a2 AS (SELECT id, unnest(ps) AS person FROM a1), a3 AS (SELECT id, {_person('person')} AS w FROM a2),
 al AS (SELECT DISTINCT a3.id FROM a3 JOIN ow ON a3.w[1] = ow.w[1] AND a3.w[-1] = ow.w[-1] AND length(a3.w[1]) >= 2 AND length(a3.w[-1]) >= 2 JOIN ky ON ky.crd = ow.crd),
 sg2 AS (SELECT id FROM (SELECT id, {_SIGNALS} AS ss FROM (SELECT id, coalesce(entityname, '') AS name, related_names FROM fsrc)) WHERE len(list_filter(ss, lambda x: x IS NOT NULL)) > 0)
-SELECT fl.manager AS manager_name, fl.cik, CASE WHEN coalesce(fl.manager, '') = '' THEN 'INCONCLUSIVE' WHEN f.entityname IS NOT NULL AND f.id IN (SELECT id FROM sg2) THEN 'PLATFORM_FILING' WHEN coalesce(upper(trim(f.stateorcountry)) <> '' AND NOT list_contains({[*M.HOME, *R.TERRITORIES]}, upper(trim(f.stateorcountry))), false) THEN 'LIKELY_FOREIGN'
+SELECT fl.manager AS manager_name, fl.cik, CASE WHEN coalesce(fl.manager, '') = '' THEN 'INCONCLUSIVE' WHEN f.entityname IS NOT NULL AND f.id IN (SELECT id FROM sg2) THEN 'PLATFORM_FILING' WHEN coalesce(upper(trim(f.stateorcountry)) <> '' AND NOT list_contains({list(M.HOME)}, upper(trim(f.stateorcountry))), false) THEN 'LIKELY_FOREIGN'
   WHEN kl.source IN ('adviser_owners', 'database_related_person') THEN 'LIKELY_FP_PRINCIPAL' WHEN kl.source IS NOT NULL THEN 'LIKELY_FP_NAME' WHEN al.id IS NOT NULL THEN 'LIKELY_FP_PRINCIPAL' ELSE 'LIKELY_TRUE' END AS category
 FROM fl JOIN fsrc f ON f.id = fl.manager LEFT JOIN kl ON kl.manager = fl.manager LEFT JOIN al ON al.id = fl.manager""", "notices", "registry", "owners")
 def mx14(spark, d):
