@@ -85,7 +85,8 @@ def format_chat(turns: DataFrame, template: Template = Template()) -> DataFrame:
 
     Turns stand in the order of turn, ties by role and text, nulls first; repeated rows are turns of their own.
     Null texts and roles are empty ones; rows with a null conv_id are one conversation.  loss_spans are the places
-    (code points, from and to) in formatted under the loss mask.
+    (code points, from and to) in formatted under the loss mask.  Texts are formatted whole, whatever their length, as
+    long as a conversation fits in a row; further columns of any name are ignored; an empty table gives no rows.
     """
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 

@@ -156,8 +156,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs (doc_id, text).
 
     benchmark: item_id, text.  Null texts have no words; an item without words has no window; an empty benchmark
-    hits nothing.  Rows with the same doc_id and text get the same result, once for each; rows with the same doc_id
-    and different texts are told apart.
+    hits nothing, and no documents give no rows.  Rows with the same doc_id and text get the same result, once for
+    each; rows with the same doc_id and different texts are told apart.  Texts of any length are looked at whole, and
+    further columns of any name are ignored.
     """
     spans = matched_spans(docs, benchmark)
     counted = docs.select("doc_id", text_key().alias("_t"), F.size(words_in(F.col("text"))).cast("long").alias("n_words"))

@@ -367,7 +367,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents are linked when 100 * shared shingles >= percent * all their shingles; component_id is the smallest
     doc_id that can be reached.  Null and wordless texts have no shingles and are linked with nothing.  Rows with
     the same doc_id are the same document, linked by any of their texts.  Rows with a null doc_id link nothing:
-    their component_id is null and they are kept.  An empty table gives an empty result.
+    their component_id is null and they are kept.  Texts of any length count whole, further columns of any name are
+    ignored, and an empty table gives an empty result.
     """
     spark, found = docs.sparkSession, signatures(docs, words)
     real = found.filter("same IS NOT NULL AND doc_id IS NOT NULL")

@@ -127,7 +127,8 @@ def write_packed(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     Returns the written manifest: shard (its rank in that order), path, doc_id, place (its number in the shard),
     n_tokens.  Null texts are empty, so they hold the end id alone.  Null doc_ids come first; rows with the same
     doc_id stand together, by text.  Other columns are ignored.  A task that is run again writes a new file, and
-    only the files of the manifest count.
+    only the files of the manifest count.  Texts of any
+    length are encoded whole, and an empty table gives no files and an empty manifest.
     """
     spark = docs.sparkSession
     path, n = tokenizer_path(tokenizer), partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

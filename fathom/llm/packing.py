@@ -122,7 +122,8 @@ def windows_of(start: int, n: int, phase: dict, lane: int) -> tuple[np.ndarray,
 def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Written table of doc_id, source, shard, at (tokens of the same source before it in its shard), n, ids.
 
-    Null texts are empty, so the end id alone; a null source is a source of its own.
+    Null texts are empty, so the end id alone; a null source is a source of its own.  Texts of any length are encoded
+    whole, repeated rows are documents of their own, and columns other than doc_id, text and source are ignored.
     """
     path = tokenizer_path(tokenizer)
 

@@ -99,8 +99,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, whole_rows: bool = False)
     """doc_id, held_out, score and predicted for each row of docs (doc_id, text); row, all its columns, with whole_rows.
 
     labels: doc_id, quality.  Learned from rows that aren't held out; every row of a repeated doc_id counts.  Null
-    texts are empty and are scored like any.  Without labels the score is 0.5; with those of one class only, near 0
-    or 1.
+    texts are empty and are scored like any, texts of any length whole.  Without labels the score is 0.5; with those of
+    one class only, near 0 or 1.  Further columns of either table are ignored; no documents give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []

@@ -51,7 +51,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_percent, clean_text, kept.
 
     A null text is an empty one: no words, so base_failed.  Columns of docs other than these stay; ones of these
-    names are replaced.  Rows are judged one by one, so repeated rows get the same verdict.
+    names are replaced.  Rows are judged one by one, so repeated rows get the same verdict; texts of any length are
+    judged whole, and no rows give none.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_percent", "clean_text", "kept")
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in made)).alias("_row")

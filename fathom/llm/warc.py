@@ -78,7 +78,8 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     Null html is an empty payload.  Of equal payloads of at least min_bytes the one with the smallest page_id is a
     response and the others are revisits that refer to it; of rows that repeat that page_id too, all are responses.
     A null page_id is written as ``None`` and is never referred to.  Control characters in a url are escaped.  A
-    task that runs again writes a new file; only files in the index count.
+    task that runs again writes a new file; only files in the index count.  Payloads of any length that fits in a row
+    are written whole, further columns of any name are ignored, and an empty table gives an empty index.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
