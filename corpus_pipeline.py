@@ -24,7 +24,10 @@ def _row(docs: DataFrame) -> Column:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules keep.  Null, empty and short texts fail the base rules and go; repeated rows share a verdict."""
+    """Keeps what the quality rules keep.
+
+    Null, empty and short texts fail the base rules and go; repeated rows share a verdict; very long texts are judged whole.
+    """
     judged = judge(docs.select("text", _row(docs).alias("row")))
     # a filter on kept itself would be written out below the steps that make it, many times over
     return judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).filter("row IS NOT NULL").select("row.*")
@@ -58,7 +61,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a window of a benchmark item.  Null and wordless texts hold none and stay."""
+    """Removes documents that hold a window of a benchmark item.
+
+    Null and wordless texts hold none and stay; repeated rows share a verdict; very long texts are looked at whole.
+    """
     spans = matched_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = spans.select("doc_id", "_t").distinct()
     keyed = docs.select("doc_id", text_key().alias("_t"), _row(docs).alias("row"))
