@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from fathom.plans import detections, issues, lists, matching, records, scalars  # noqa: F401  they register their queries
+from fathom.plans import detections, evidence, gates, issues, lists, matching, pages, records, scalars, streams, tables, verdicts, worklists  # noqa: F401  they register their queries
 from fathom.plans.catalog import QUERIES, SQL
 from fathom.streaming.poll import freshness, new_rows, process_available
 
