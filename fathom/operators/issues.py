@@ -23,6 +23,7 @@ SHOWN = 5
 #: What issues say, as users read and search it; {} are values.
 TEXTS = {
     "needs_initial_adv_filing": 'Manager "{}" has {} Form D filing(s) since {} but has not filed Form ADV ({} days since first filing, verified against ADV database)',
+    "graded_registration": 'Manager "{}" has {} Form D filing(s) since {} but has not filed Form ADV ({} days since first filing)',
     "overdue_annual_amendment": 'Manager "{}" has not filed current year ADV amendment (last filing: {})',
     "filings_since": ". {} Form D filings since then.",
     "vc_exemption_violation": 'Manager "{}" claims VC exemption (203(l)-1) but manages {} non-VC fund(s): {}',
@@ -161,6 +162,34 @@ def unregistered(filings: DataFrame, matched: DataFrame, advisers: DataFrame, ow
                   manager_name=c("manager"), fund_count=c("n"), earliest_filing_date=c("first").cast("string"), latest_filing_date=c("last").cast("string"), days_since_first_filing=days, total_offering_amount=c("total").cast("string"), extraction_source=c("x.source"), platform_name=c("x.platform"), likely_exemptions=c("tags"), sample_funds=c("sample"))
 
 
+def graded(filings: DataFrame, matched: DataFrame, advisers: DataFrame, as_of: str, grace: int = 60) -> DataFrame:
+    """Another way to the same: firms that filings more than grace days old may belong to, none of which is an adviser's name or nearly so; graded by the days since the first, the largest offering first.
+
+    A filing counts for its first candidate, or for its entity if it has none; those in a match or without a cik are left
+    out.  A date that can't be read is none.
+    """
+    now, c = F.lit(as_of).cast("date"), F.col
+    rows = filings.filter("cik IS NOT NULL").join(matched.select("accessionnumber"), "accessionnumber", "left_anti").withColumn("day", T.mixed_date(c("filing_date")))
+    rows = rows.filter(F.date_diff(now, c("day")) > grace)
+    listed = R.firm_candidates(c("entityname"), c("related_names"), c("related_roles"))
+    raw = F.array(F.struct(c("entityname").alias("name"), F.lit("entity_name_raw").alias("source"), F.lit(5).alias("priority")))
+    rows = work.written(rows.withColumn("c", listed).withColumn("c", F.when(F.size("c") > 0, c("c")).otherwise(raw)), "candidates")
+    asked = rows.select(c("id").alias("key"), F.posexplode("c").alias("place", "x")).select("key", "place", "x.name", "x.source")
+    found = R.index_matches(asked, advisers).select(c("key").alias("id"))
+    left = rows.join(found, "id", "left_anti").withColumn("x", F.get("c", F.lit(0))).withColumn("manager", c("x.name")).filter("manager IS NOT NULL")
+    amount = F.coalesce(T.leading_number(c("totalofferingamount")).cast("decimal(20,2)"), F.lit(0))
+    newest = F.struct(-F.unix_date("day"), c("id"))
+    rolled = left.groupBy("manager").agg(
+        F.count("*").alias("n"), F.min("day").alias("first"), F.sum(amount).alias("total"), F.min_by(F.struct("cik", c("x.source").alias("source"), F.transform("c", lambda x: x["name"]).alias("names")), newest).alias("x"),
+    )
+    rolled = rolled.join(shown(left, "manager", "entityname", F.desc("day"), "id", to="sample"), "manager")
+    days = F.date_diff(now, c("first"))
+    severity = F.when(days > 180, "critical").when(days > 120, "high").otherwise("medium")
+    out = issues(rolled.orderBy(F.desc("total"), "manager"), "needs_initial_adv_filing", severity, F.lit(None), c("x.cik"), said(TEXTS["graded_registration"], c("manager"), c("n"), c("first"), days),
+                 manager_name=c("manager"), name_source=c("x.source"), fund_count=c("n"), earliest_filing_date=c("first").cast("string"), days_since_first_filing=days, total_offering_amount=c("total").cast("string"), all_firm_candidates=c("x.names"), sample_funds=c("sample"))
+    return out
+
+
 def audited(flagged: DataFrame, filings: DataFrame, advisers: DataFrame, owners: DataFrame) -> DataFrame:
     """manager and category of each flagged (manager_name, cik): a platform's filing, a place abroad, an adviser found after all by name or by a principal, or truly none.
 

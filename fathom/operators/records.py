@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import names as N
 from fathom.functions import text as T
+from fathom.operators import containment
 from fathom.operators import registry as R
 from fathom.operators.listings import first_text
 
@@ -168,3 +169,10 @@ def backfilled(records: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.withColumn("all", F.aggregate(people, F.col("team"), add))
     added = F.size("all") - F.size("team")
     return rows.select("id", F.coalesce("company", "linkedin_company_url").alias("linkedin_company_url"), F.col("all").alias("team"), added.alias("n_added"), (F.col("company").isNotNull() | (added > 0)).alias("changed"))
+
+
+def filings_of_series(managers: DataFrame, filings: DataFrame) -> DataFrame:
+    """series_master and id of each filing that says it is a series of the manager, its name anywhere after the words."""
+    parts = managers.select("series_master", F.concat(F.lit("a series of "), F.col("series_master")).alias("part"))
+    held = containment.held(parts, filings.select(F.col("entityname").alias("text")))
+    return held.join(parts, "part").join(filings.select("id", "entityname"), F.col("text") == F.col("entityname")).select("series_master", "id")

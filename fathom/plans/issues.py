@@ -168,7 +168,7 @@ _SCORE = "CASE WHEN na = '' OR nb = '' THEN 0 WHEN na = nb THEN 1 WHEN contains(
 
 
 @query("mx10_index_matches", f""", {_CANDIDATES}, ky AS (SELECT crd, adviser_name, {form_sql('adviser_name', 'registration')} AS fb FROM registry WHERE adviser_name <> ''),
-pairs AS (SELECT a.name AS id, a.name AS a, adviser_name AS b, crd FROM (SELECT DISTINCT name FROM cands WHERE length(form) >= 3) a JOIN ky ON length(fb) >= 3), t AS (SELECT *, {form_sql('a', 'registration')} AS na, {form_sql('b', 'registration')} AS nb FROM pairs),
+pairs AS (SELECT a.name AS id, a.name AS a, adviser_name AS b, crd FROM (SELECT DISTINCT name FROM cands WHERE form <> '') a JOIN ky ON fb <> ''), t AS (SELECT *, {form_sql('a', 'registration')} AS na, {form_sql('b', 'registration')} AS nb FROM pairs),
 u AS (SELECT *, list_filter(string_split(na, ' '), lambda w: length(w) > 1) AS wa, list_filter(string_split(nb, ' '), lambda w: length(w) > 1) AS wb FROM t), v AS (SELECT *, list_filter(wa, lambda w: NOT list_contains({list(N.TIER_GENERIC)}, w)) AS ta, list_filter(wb, lambda w: NOT list_contains({list(N.TIER_GENERIC)}, w)) AS tb FROM u),
 fz AS (SELECT a AS name, min(crd) AS crd FROM v WHERE {_SCORE} >= 0.8 GROUP BY a), et AS (SELECT fb AS form, max(crd) AS crd FROM ky WHERE fb <> '' GROUP BY fb),
 al AS (SELECT id, place, name, source, et.crd, 'exact' AS match_type FROM cands JOIN et USING (form) UNION ALL SELECT id, place, name, source, fz.crd, 'fuzzy' FROM cands JOIN fz USING (name)),
@@ -198,6 +198,38 @@ def matched(spark, d):
     return table(spark, d, "notices").filter("id % 4 = 2").select("accessionnumber")
 
 
+_MATCH_INDEX = f"""ky AS (SELECT crd, adviser_name, {form_sql('adviser_name', 'registration')} AS fb FROM registry WHERE adviser_name <> ''),
+asked AS (SELECT DISTINCT name, {form_sql('name', 'registration')} AS form FROM cand),
+pairs AS (SELECT name AS id, name AS a, adviser_name AS b, form AS na, fb AS nb FROM asked JOIN ky ON form <> '' AND fb <> ''),
+u AS (SELECT *, list_filter(string_split(na, ' '), lambda w: length(w) > 1) AS wa, list_filter(string_split(nb, ' '), lambda w: length(w) > 1) AS wb FROM pairs),
+v AS (SELECT *, list_filter(wa, lambda w: NOT list_contains({list(N.TIER_GENERIC)}, w)) AS ta, list_filter(wb, lambda w: NOT list_contains({list(N.TIER_GENERIC)}, w)) AS tb FROM u),
+hits AS (SELECT DISTINCT a AS name FROM v WHERE {_SCORE} >= 0.8)"""
+
+
+@query("de09_graded_by_candidates", f""", {_CANDIDATES}, {_MATCHED},
+n AS (
+  SELECT *, {_DAY} AS day FROM notices
+  WHERE cik IS NOT NULL AND accessionnumber NOT IN (SELECT accessionnumber FROM matched) AND date_diff('day', {_DAY}, DATE '{NOW}') > 60),
+cand AS (
+  SELECT id, place, name, source FROM cands WHERE id IN (SELECT id FROM n)
+  UNION ALL SELECT id, 1, entityname, 'entity_name_raw' FROM n WHERE id NOT IN (SELECT id FROM cands)),
+{_MATCH_INDEX},
+lost AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM cand JOIN hits USING (name))),
+best AS (SELECT lost.*, c.name AS manager, c.source, (SELECT list(name ORDER BY place) FROM cand d WHERE d.id = lost.id) AS names FROM lost JOIN cand c ON c.id = lost.id AND c.place = 1 WHERE c.name IS NOT NULL),
+g AS (
+  SELECT manager, count(*) AS n, min(day) AS first, sum(coalesce({_NUMBER.format('totalofferingamount')}, 0)::DECIMAL(20,2)) AS total, arg_min(cik, (-date_diff('day', DATE '1970-01-01', day), id)) AS cik,
+         arg_min(source, (-date_diff('day', DATE '1970-01-01', day), id)) AS source, arg_min(names, (-date_diff('day', DATE '1970-01-01', day), id)) AS names, list(entityname ORDER BY day DESC, id)[1:5] AS sample
+  FROM best GROUP BY manager)
+SELECT CASE WHEN date_diff('day', first, DATE '{NOW}') > 180 THEN 'critical' WHEN date_diff('day', first, DATE '{NOW}') > 120 THEN 'high' ELSE 'medium' END AS severity, cik AS form_d_cik,
+       {_said('graded_registration', 'manager', 'n', 'first', f"date_diff('day', first, DATE '{NOW}')")} AS description, source AS name_source, total::DOUBLE AS total_offering, array_to_string(names, '|') AS candidates, coalesce(array_to_string(sample, '|'), '') AS sample
+FROM g""", "notices", "registry")
+def de09_candidates(spark, d):
+    rows = I.graded(table(spark, d, "notices"), matched(spark, d), table(spark, d, "registry"), NOW)
+    said = F.from_json("metadata", "name_source string, total_offering_amount string, all_firm_candidates array<string>, sample_funds array<string>")
+    rows = rows.withColumn("m", said).select("severity", "form_d_cik", "description", "m.name_source", F.col("m.total_offering_amount").cast("double").alias("total_offering"), F.array_join("m.all_firm_candidates", "|").alias("candidates"), F.array_join("m.sample_funds", "|").alias("sample"))
+    return rows
+
+
 @query("de12_found_managers", f""", {_MANAGER}, {_MATCHED} SELECT name, count(*) AS n_filings, sum(coalesce({_NUMBER.format('totalofferingamount')}, 0)::DECIMAL(20,2))::DOUBLE AS total_offering FROM entities JOIN notices USING (id)
   WHERE date_diff('day', {_DAY}, DATE '{NOW}') > 60 AND accessionnumber NOT IN (SELECT accessionnumber FROM matched) GROUP BY name ORDER BY total_offering DESC, name LIMIT 200""", "notices")
 def de12(spark, d):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.operators import matching as M
 from fathom.operators import verdicts as V
 from fathom.plans.catalog import query
 from fathom.plans.gates import jaro_winkler_sql, weighed_sql, weighted_sql
-from fathom.plans.matching import _words_sql, form_sql
+from fathom.plans.matching import _GATE_WORDS, _LADDER, _TELL, _words_sql, form_sql
 from fathom.sources.views import table
 
 
@@ -99,3 +100,26 @@ SELECT fund_id, s.id, score FROM vehicles JOIN s ON fund_name = name WHERE score
 QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY score DESC, s.id) = 1""", "vehicles", "notices")
 def mx06(spark, d):
     return V.best_filings(funds_by_name(spark, d), filings_by_name(spark, d))
+
+
+_FITS = "list_has_any(ta, tb) AND ((list_has_all(a, b) AND list_has_all(tb, ta)) OR (list_has_all(b, a) AND list_has_all(ta, tb)))"
+
+
+@query("mx04_by_legal_name", f""",
+names AS (SELECT id, coalesce(nullif({_MASTER}, ''), series_master_llc) AS name FROM records), {_LADDER},
+tries AS (SELECT id, v, min(k) AS k FROM (SELECT id, lower(v) AS v, k FROM ladder UNION ALL SELECT id, lower(name), 0 FROM names) GROUP BY ALL),
+m AS (SELECT id, v, k, list_distinct({_words_sql('v')}) AS a, {_GATE_WORDS.format('v')} AS ga FROM tries),
+n AS (SELECT crd AS key, adviser_name AS found, list_filter([lower(trim(adviser_name)), lower(trim(adviser_entity_legal_name))], lambda x: x <> '') AS l FROM registry),
+y AS (SELECT key, found, list_distinct({_GATE_WORDS.format("array_to_string(l, ' ')")}) AS gb, unnest(l) AS own, generate_subscripts(l, 1) AS place FROM n),
+z AS (SELECT *, list_distinct({_words_sql('own')}) AS b FROM y),
+md AS (SELECT *, {_TELL.format('a')} AS ta FROM m), zd AS (SELECT *, {_TELL.format('b')} AS tb FROM z),
+hit AS (
+  SELECT id, v, k, key, found, ga, CASE WHEN own = v THEN 0 ELSE 1 END AS how
+  FROM md JOIN zd ON own = v OR (list_has_any(ga, gb) AND len(b) >= CASE place WHEN 1 THEN 2 ELSE 3 END AND {_FITS})),
+best AS (SELECT *, row_number() OVER (PARTITION BY id, v ORDER BY how, key) AS n FROM hit),
+ok AS (SELECT *, list_intersect(ga, {_GATE_WORDS.format('found')}) AS s FROM best WHERE n = 1)
+SELECT id, arg_min(key, k) AS key, arg_min(v, k) AS variant FROM ok WHERE len(s) >= 2 OR len(list_filter(s, lambda w: length(w) >= 5)) > 0 GROUP BY id""", "records", "registry")
+def mx04(spark, d):
+    """Records' managers among advisers under either of their names."""
+    advisers = table(spark, d, "registry").select(F.col("crd").alias("key"), F.col("adviser_name").alias("name"), F.col("adviser_entity_legal_name").alias("legal_name"))
+    return M.adviser_matches(managers(spark, d).select("id", "name"), advisers).select("id", "key", "variant")

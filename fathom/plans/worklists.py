@@ -25,6 +25,14 @@ def jn07(spark, d):
     return W.unregistered(left, advisers, table(spark, d, "owners"))
 
 
+@query("jn31_filings_of_series", f", {_ROLLED} SELECT series_master, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM rolled JOIN notices ON contains(lower(entityname), 'a series of ' || lower(series_master)) GROUP BY 1", "notices")
+def jn31(spark, d):
+    """Filings of each manager, also those in which more follows its name."""
+    filings = table(spark, d, "notices")
+    found = W.filings_of_series(L.managers_of(filings).select("series_master"), filings)
+    return found.groupBy("series_master").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 _MASTER = r"trim(regexp_extract(entityname, '(?i),?\s+a\s+series\s+of\s+(.+?)\s*,?\s*$', 1))"
 
 
