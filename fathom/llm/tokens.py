@@ -13,9 +13,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import compress
-from operator import not_
-
 import numpy as np
 
 CACHE_PIECES = 700_000
@@ -59,14 +56,14 @@ class _PieceIds:
     def _resolve(self, lists: list[list[str]]) -> list[bytes]:
         """Joined ids of each list of pieces."""
         found = [list(map(self.cache.get, pieces)) for pieces in lists]
-        unseen = [list(compress(pieces, map(not_, got))) for pieces, got in zip(lists, found)]
+        unseen = [[p for p, g in zip(pieces, got) if g is None] if None in got else () for pieces, got in zip(lists, found)]
         new = list(set().union(*unseen))
         fresh = dict(zip(new, self._encode(new))) if new else {}
         out = []
         for got, pieces in zip(found, unseen):
             if pieces:
                 more = map(fresh.__getitem__, pieces)
-                got = [g or next(more) for g in got]
+                got = [next(more) if g is None else g for g in got]
             out.append(b"".join(got))
         if len(self.cache) < CACHE_PIECES:
             self.cache.update(fresh)
