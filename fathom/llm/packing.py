@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.llm import store
-from fathom.llm.tokens import encoder, tokenizer_path
+from fathom.llm.tokens import CACHE_PIECES, encoder, tokenizer_path
 
 UNITS = 1 << 20
 
@@ -119,7 +119,7 @@ def windows_of(start: int, n: int, phase: dict, lane: int) -> tuple[np.ndarray,
     return (at[:-1] + phase["first"])[keep], (b - a)[keep], offset[keep]
 
 
-def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, pieces: int = CACHE_PIECES) -> DataFrame:
     """Written table of doc_id, source, shard, at (tokens of the same source before it in its shard), n, ids.
 
     Null texts are empty, so the end id alone; a null source is a source of its own.  Texts of any length are encoded
@@ -130,11 +130,11 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, ids_of, seen = TaskContext.get().partitionId(), encoder("word", path), {}
+        shard, ids_of, seen = TaskContext.get().partitionId(), encoder("word", path, pieces=pieces), {}
         end = np.array([end_id], np.uint16).tobytes()
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
                 ids = [raw + end for raw in ids_of.encode([t or "" for t in part.column("text").to_pylist()])]
                 at = []
                 for source, raw in zip(part.column("source").to_pylist(), ids):
@@ -150,16 +150,17 @@ def tokenised(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int
     return store.written(columns.mapInArrow(store.tidied(encode, tokens=True), f"doc_id {kind}, source string, shard int, at long, n long, ids binary"), "tokenised")
 
 
-def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, with_ids: bool = True, pieces: int = CACHE_PIECES) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of at most length tokens.
 
     targets: weight by source; None: in proportion to the sources' tokens.  Returns a row per piece: doc_id, start
     (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset, source and ids (the
     piece's, little-endian u16; null without with_ids).  Each id is in exactly one piece, sequences have no gaps.  An empty table gives no
-    rows; repeated doc_ids are documents of their own.
+    rows; repeated doc_ids are documents of their own.  pieces: what a worker keeps of the tokenizer's, for time or
+    memory.
     """
     spark = docs.sparkSession
-    table = tokenised(docs, tokenizer, end_id)
+    table = tokenised(docs, tokenizer, end_id, pieces)
     ordered = Window.partitionBy("source").orderBy("shard")
     sums = table.groupBy("source", "shard").agg(F.sum("n").alias("tokens"))
     sums = store.written(sums.withColumn("before", F.sum("tokens").over(ordered) - F.col("tokens")), "totals")
@@ -206,4 +207,4 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, length: int =
 
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op4: all documents in sequences of 2048; the sources' shares are those of the corpus."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False, pieces=1_200_000).drop("ids")

@@ -44,6 +44,8 @@ class _PieceIds:
         if self.size > np.iinfo(dtype).max + 1:
             raise ValueError(f"{self.size} ids don't fit in {np.dtype(dtype)}")
         self.dtype = np.dtype(dtype)
+        #: pieces that are kept
+        self.limit = CACHE_PIECES
         self.cache: dict[str, bytes] = {}
 
     def forget(self) -> None:
@@ -65,7 +67,7 @@ class _PieceIds:
                 more = map(fresh.__getitem__, pieces)
                 got = [next(more) if g is None else g for g in got]
             out.append(b"".join(got))
-        if len(self.cache) < CACHE_PIECES:
+        if len(self.cache) < self.limit:
             self.cache.update(fresh)
         return out
 
@@ -166,11 +168,12 @@ class WordIds(_PieceIds):
 _ENCODERS: dict[tuple, _PieceIds] = {}
 
 
-def encoder(kind: str, path: str, dtype="uint16") -> _PieceIds:
-    """One of each per Python worker; kind: byte or word."""
+def encoder(kind: str, path: str, dtype="uint16", pieces: int = CACHE_PIECES) -> _PieceIds:
+    """One of each per Python worker; kind: byte or word; pieces: how many it keeps, which changes time and memory only."""
     key = (kind, path, str(dtype))
     if key not in _ENCODERS:
         _ENCODERS[key] = {"byte": ByteLevelIds, "word": WordIds}[kind](path, np.dtype(dtype))
+    _ENCODERS[key].limit = pieces
     return _ENCODERS[key]
 
 
