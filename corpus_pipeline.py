@@ -76,7 +76,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts are empty, so the end id alone; repeated rows are documents of their own; no rows give no sequences.
     """
-    return pack(docs)
+    # workers share the executor with what earlier stages have left in it
+    return pack(docs, pieces=300_000)
 
 
 STAGES = [
