@@ -129,6 +129,8 @@ class WordIds(_PieceIds):
         self.tails = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # the tokenizer lowers letters after it has looked for its special tokens, so A to Z can be lowered before
+        texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         # U+001C to U+001F part words for Python only
         odd = [bool(self._ODD.search(t)) for t in texts]
         plain = iter(self._resolve([t.split() for t, o in zip(texts, odd) if not o]))
