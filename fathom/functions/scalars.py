@@ -84,8 +84,8 @@ def compact(value: Column) -> Column:
     """A number with B, M or K and one decimal."""
     out = F.when(value.isNull(), "N/A")
     for unit, form in ((1e9, "%.1fB"), (1e6, "%.1fM"), (1e3, "%.1fK")):
-        out = out.when(value >= unit, F.format_string(form, value / unit))
-    return out.otherwise(F.format_string("%.0f", value))
+        out = out.when(value >= unit, F.format_string(form, formats.tenths(value / unit)))
+    return out.otherwise(F.format_string("%.0f", F.rint(value)))
 
 
 def slug_sites(page: Column) -> Column:

@@ -1,7 +1,9 @@
 """Inputs and what the domain says they give, written out by hand: no value here comes from the constants under test."""
 
 import datetime
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,14 @@ def test_backfilled(spark):
     found = spark.createDataFrame([(1, None, [("https://y/in/ANN", "Ann L"), ("https://y/in/cal", "Cal Orr"), ("https://y/in/dan", None)]), (2, "new", [("https://y/in/eve", "Eve Fox"), ("https://z/in/eve", "Eve F")])], "id int, company string, persons array<struct<url: string, name: string>>")
     got = {r.id: (r.linkedin_company_url, [m.name for m in r.team], r.n_added, r.changed) for r in records.backfilled(ours, found).collect()}
     assert got == {1: ("old", ["Ann Lee", "Bob", "Cal Orr"], 1, True), 2: ("new", ["Eve Fox"], 1, True), 3: ("old", [], 0, False)}
+
+
+def test_halves_are_rounded_as_sql_does(spark):
+    """Amounts that read as halfway, against DuckDB's printf."""
+    rng = random.Random(3)
+    values = [1.25, 4.35, 2.5, 3.5, 0.05, 0.15, 0.25, 0.35, 999.95, 1.0, 8.45] + [rng.randrange(100_000) / 100 for _ in range(3_000)] + [k / 20 for k in range(1, 4_000, 2)]
+    db = duckdb.connect()
+    want = [r[0] for r in db.execute("SELECT printf('%.1f', unnest(?::DOUBLE[]))", [values + [-v for v in values]]).fetchall()]
+    assert each(spark, [str(v) for v in values + [-v for v in values]], lambda x: F.format_string("%.1f", formats.tenths(x.cast("double")))) == want
+    shown = each(spark, ["1250000000", "4350000000", "2500", "3500", "1250000", "2.5"], formats.currency)
+    assert shown == ["$1.2B", db.execute("SELECT printf('$%.1fB', 4.35)").fetchall()[0][0], "$2K", "$4K", "$1.2M", "$2"]
