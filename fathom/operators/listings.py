@@ -184,22 +184,45 @@ def _blocks(rows: DataFrame, text: str) -> DataFrame:
     return rows.filter(F.length(text) > 0).select("*", F.explode(F.when(F.length(text) >= _WIDTH, cut).otherwise(whole)).alias("block"))
 
 
-def near_pairs(asked: DataFrame, known: DataFrame, wrong: int) -> DataFrame:
-    """shown and shown_b of asked (shown) and known (shown_b), distinct, which share a rare block.
+def _ranked(rows: DataFrame, text: str, often: DataFrame) -> DataFrame:
+    """text and the two rarest of its blocks more than it may have wrong, as o; often (block, n) has how many known texts hold a block."""
+    each = _blocks(rows.select(text), text).join(often, "block", "left").groupBy(text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("o"))
+    return each.select(text, F.slice("o", F.lit(1), F.floor(F.length(text) / 9).cast("int") + 2).alias("o"))
 
-    Names of n characters, equal in nine places of ten, differ in n / 9 places at most, and so in as many blocks.  The
-    rarest block that both have is then among the n / 9 + 1 rarest of each.  Only pairs that differ in at most wrong
-    places are sure to meet, at the wrong + 1 rarest.
-    """
-    ours, theirs = _blocks(asked.select("shown"), "shown"), _blocks(known.select("shown_b"), "shown_b")
-    often = theirs.groupBy("block").agg(F.count("*").alias("n"))
 
-    def rarest(each: DataFrame, text: str) -> DataFrame:
-        ranked = each.join(often, "block", "left").groupBy(text).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "block"))).alias("o"))
-        most = F.least(F.floor(F.length(text) / 9).cast("int"), F.lit(wrong)) + 1
-        return ranked.select(text, F.explode(F.slice("o", F.lit(1), most)).alias("x")).select(text, "x.block")
+def _tasks(rows: DataFrame) -> int:
+    """How many tasks names are compared in: few bytes may be many pairs."""
+    return 2 * max(rows.sparkSession.sparkContext.defaultParallelism, 16)
+
+
+def _pairs(ours: DataFrame, theirs: DataFrame, wrong: int) -> DataFrame:
+    """near_pairs of ranked names."""
+
+    def keyed(rows: DataFrame, text: str) -> DataFrame:
+        most = F.least(F.floor(F.length(text) / 9).cast("int"), F.lit(wrong)) + 2
+        alone = F.size("o") == 1
+        rows = rows.select(text, alone.alias("alone"), F.transform(F.filter(F.slice("o", F.lit(1), most), lambda x: x["n"] > 0), lambda x: x["block"]).alias("p"))
+        two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        one = F.transform("p", lambda x: F.struct(x.alias("a"), x.alias("b")))
+        return rows.select(text, F.explode(F.when(F.col("alone"), one).otherwise(two)).alias("k")).repartition(_tasks(rows), "k")
+
+    return keyed(ours, "shown").join(keyed(theirs, "shown_b"), "k").select("shown", "shown_b").distinct()
+
 
-    return rarest(ours, "shown").join(rarest(theirs, "shown_b"), "block").select("shown", "shown_b").distinct()
+def _often(known: DataFrame) -> DataFrame:
+    return _blocks(known.select("shown_b"), "shown_b").groupBy("block").agg(F.count("*").alias("n"))
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, wrong: int) -> DataFrame:
+    """shown and shown_b of asked (shown) and known (shown_b), distinct, which share two rare blocks.
+
+    Names of n characters, equal in nine places of ten, differ in n / 9 places at most, and so in as many blocks of three.
+    The two rarest blocks that both have are then among the n / 9 + 2 rarest of each, and names meet at both at once:
+    one block may stand in every name.  A name of one block meets at that.  Only pairs that differ in at most wrong
+    places are sure to meet, at the wrong + 2 rarest.
+    """
+    often = _often(known)
+    return _pairs(_ranked(asked, "shown", often), _ranked(known, "shown_b", often), wrong)
 
 
 def nearest_names(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -210,31 +233,30 @@ def nearest_names(asked: DataFrame, known: DataFrame) -> DataFrame:
     a name with near neighbours never meets the far ones.
     """
     spark, place = asked.sparkSession, work.folder(asked.sparkSession, "names")
-    known = known.groupBy("shown_b").agg(F.min("id").alias("id"))
-    known.write.parquet(f"{place}/known")
-    asked.select("shown").distinct().write.parquet(f"{place}/left-0")
-    known, left = spark.read.parquet(f"{place}/known"), spark.read.parquet(f"{place}/left-0")
+    known.groupBy("shown_b").agg(F.min("id").alias("id")).write.parquet(f"{place}/known")
+    asked.select("shown").distinct().write.parquet(f"{place}/asked")
+    known, left = spark.read.parquet(f"{place}/known"), spark.read.parquet(f"{place}/asked")
     longest = left.agg(F.max(F.length("shown"))).first()[0] or 0
+    # blocks are counted and ranked once for all rounds
+    often = work.written(_often(known), "often")
+    theirs, left = work.written(_ranked(known, "shown_b", often), "theirs"), work.written(_ranked(left, "shown", often), "ours")
     parts, wrong, step = [], 1, 0
     while True:
         last, step = wrong >= longest // 9, step + 1
-        met = near_pairs(left, known, wrong).join(known, "shown_b")
-        score = N.positional_similarity(F.col("shown"), F.col("shown_b"))
-        # places that differ are at least as many as edits, which are counted faster
         longer, most = F.greatest(F.length("shown"), F.length("shown_b")), 12
+        met = _pairs(left, theirs, wrong).filter(F.least(F.length("shown"), F.length("shown_b")) / longer >= 0.9)
+        # places that differ are at least as many as edits, which are counted faster
         edits = F.levenshtein("shown", "shown_b", most)
-        near = met.filter((longer > 10 * most) | ((edits >= 0) & (10 * edits <= longer))).withColumn("score", score).filter("score >= 0.9")
+        near = met.filter((longer > 10 * most) | ((edits >= 0) & (10 * edits <= longer))).withColumn("score", N.positional_similarity(F.col("shown"), F.col("shown_b"))).filter("score >= 0.9").join(known, "shown_b")
         differs = F.round((1 - F.col("score")) * F.greatest(F.length("shown"), F.length("shown_b")))
         best = near.groupBy("shown").agg(F.min_by(F.struct("id", "score", differs.alias("d")), F.struct(-F.col("score"), "id")).alias("x")).select("shown", "x.*")
-        best.write.parquet(f"{place}/best-{step}")
-        best = spark.read.schema(best.schema).parquet(f"{place}/best-{step}")
+        best = work.written(best, "best")
         sure = best if last else best.filter(F.col("d") < 0.9 * (wrong + 1))
         parts.append(sure.select("shown", "id", "score"))
         if last:
             return reduce(DataFrame.unionByName, parts)
-        rest = left.join(sure, "shown", "left_anti").select("shown")
-        rest.write.parquet(f"{place}/left-{step}")
-        left, wrong = spark.read.schema(rest.schema).parquet(f"{place}/left-{step}"), wrong * 2
+        left = work.written(left.join(sure.select("shown"), "shown", "left_anti"), "left")
+        wrong *= 2
 
 
 def best_named(funds: DataFrame, filings: DataFrame) -> DataFrame:

@@ -113,3 +113,10 @@ def test_best_filings_are_every_pair_s(spark):
     assert got == {r.fund_id: (best[r.name][1], -best[r.name][0]) for r in funds.collect() if r.name in best}
     visited = verdicts.filing_candidates(funds, filings).count()
     assert visited < len(fa) * len(fb) / 20
+
+
+def test_names_meet_at_two_rare_blocks(spark):
+    """3,000 names against as many that share one rare block with 60 others each, but nothing else that is rare."""
+    ours = spark.createDataFrame([(f"deal {100 + i % 50}{chr(97 + i // 50 % 26)}{i:05d} a series of one firm",) for i in range(3_000)], "shown string")
+    theirs = spark.createDataFrame([(f"deal {100 + i % 50}{chr(97 + i // 50 % 26)}{99_999 - i:05d} a series of one firm",) for i in range(3_000)], "shown_b string")
+    assert listings.near_pairs(ours, theirs, 1).count() < 3 * 3_000
