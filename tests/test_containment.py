@@ -111,3 +111,27 @@ def test_promoters(spark):
     advisers = spark.createDataFrame([(9, "Alpine Capital", None), (7, "ALPINE CAPITAL", None), (8, "Alpine", "z"), (5, "", "Common Capital LLC"), (4, None, None), (3, "Bob", None)], "crd long, adviser_name string, adviser_entity_legal_name string")
     got = {(r.id, r.crd, r.adviser) for r in listings.promoter_advisers(filings, advisers).collect()}
     assert got == {(1, 7, "alpine capital"), (2, 7, "alpine capital"), (5, 5, "common capital llc")}
+
+
+def test_lists_of_parties_are_looked_up_once(spark, monkeypatch):
+    """600 filings with one list of parties and one name ask once, whatever meets LLC; the adviser is every pair's."""
+    asked = []
+    inner = registry.named_after
+
+    def counted(rows, advisers):
+        asked.append(rows.count())
+        return inner(rows, advisers)
+
+    monkeypatch.setattr(registry, "named_after", counted)
+    rows = spark.createDataFrame([(i, "Zed Fund", "Firm77 Acme LLC | Bo", None) for i in range(600)] + [(600, None, "Firm9x Group LLC", "")], "key int, name string, related_names string, related_roles string")
+    advisers = spark.createDataFrame([(i, f"Firm{i} LLC") for i in range(300)] + [(900, "zed llc")], "crd int, adviser_name string")
+    owners = spark.createDataFrame([], "id int, firm_crd int, owner_full_name string, owner_type string, title_or_status string")
+    got = {(r.crd, r.source) for r in registry.lookup(rows, advisers, owners).collect()}
+    assert got == {(77, "database_related_person")} and asked and max(asked) <= 2
+
+
+def test_long_runs_tell_numbers_apart(spark):
+    """Numbers that share all runs of three with many others meet only their own."""
+    texts = rows_of(spark, "text", [f"Deal {i}, a series of Firm" for i in range(100_000, 104_000)])
+    parts = rows_of(spark, "part", [f"Deal {i}, a ser" for i in range(100_000, 104_000)])
+    assert containment.met(containment.by_part(parts), texts).count() < 3 * 4_000
