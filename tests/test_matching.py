@@ -53,3 +53,13 @@ def test_decisions(spark):
     assert reasons(decisions.team(evidence, firms, sites, pages)) == {1: "on_verified_website", 2: "unanchored_linkedin_search_no_firm_match"}
     view = {r.id: (r.website, r.suppressed) for r in decisions.public_view(firms, sites, pages, decisions.emails(evidence)).collect()}
     assert view == {1: ("http://www.alpine.com/x", False), 2: (None, True)}
+
+
+def test_a_name_of_many_managers_is_looked_up_once(spark, monkeypatch):
+    asked = []
+    inner = N.with_variants
+    monkeypatch.setattr(matching.N, "with_variants", lambda rows, *a, **k: (asked.append(rows.count()), inner(rows, *a, **k))[1])
+    managers = spark.createDataFrame([(i, "Locus Alpine LLC") for i in range(400)] + [(400, None), (401, "Other")], "id int, name string")
+    advisers = spark.createDataFrame([(9, "Locus Alpine"), (7, "Alpine Locus Inc"), (8, "Locus Alpine LLC")], "key int, name string")
+    got = {(r.id, r.key) for r in matching.adviser_matches(managers, advisers).collect()}
+    assert got == {(i, 8) for i in range(400)} and asked == [2]
