@@ -161,7 +161,9 @@ def promoter_advisers(filings: DataFrame, advisers: DataFrame) -> DataFrame:
     Names of fewer than five characters count on neither side.  Each name of a promoter is looked up once.
     """
     least = 5
-    rows = filings.select("id", F.lower(promoter(F.col("related_names"), F.col("related_roles"))).alias("who")).filter(F.length("who") >= least)
+    rows = filings.select("id", "related_names", "related_roles").repartition(_tasks(filings))
+    rows = rows.select("id", F.lower(promoter(F.col("related_names"), F.col("related_roles"))).alias("who"))
+    rows = work.written(rows, "promoters").filter(F.length("who") >= least)  # many joins read it
     known = advisers.select("crd", F.lower(first_text(F.col("adviser_name"), F.col("adviser_entity_legal_name"))).alias("name")).filter(F.length("name") >= least)
     known = known.groupBy("name").agg(F.min("crd").alias("crd"))
     pair = lambda rows, part, text: rows.select(F.col("part").alias(part), F.col("text").alias(text)).select("who", "name")
