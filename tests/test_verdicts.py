@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import names as N
-from fathom.operators import listings, verdicts
+from fathom.operators import containment, listings, verdicts
 from fathom.plans.verdicts import filings_by_name, funds_by_name
 
 DATA = "/root/testdata/sf0.001"
@@ -115,6 +115,22 @@ def test_best_filings_are_every_pair_s(spark):
     assert visited < len(fa) * len(fb) / 20
 
 
+def test_filings_of_short_names(spark):
+    """Names and words shorter than a gram find their filings."""
+    funds = spark.createDataFrame([(1, "AB"), (2, "x"), (3, "of Al in Zed"), (4, ""), (5, None), (6, "q")], "fund_id int, name string")
+    filings = spark.createDataFrame([(9, "ab"), (8, "Ab"), (7, "X"), (6, "of All in Zed"), (5, None), (4, "")], "id int, name string")
+    assert {(r.fund_id, r.id) for r in verdicts.best_filings(funds, filings).collect()} == {(1, 8), (2, 7), (3, 6)}
+
+
+def test_beginnings_and_numbers_meet_only_their_own(spark, monkeypatch):
+    """Beginnings of one length and short words are looked up as they are: no gram of theirs has to be chosen, and no other text is met."""
+    chosen, inner = [], containment.met
+    monkeypatch.setattr(containment, "met", lambda asked, *more: chosen.append(asked.count()) or inner(asked, *more))
+    funds = spark.createDataFrame([(f"Deal {i}, a series of Alpine",) for i in range(1_000, 1_200)], "name string")
+    filings = spark.createDataFrame([(f"Deal {i}, a series of Boreal",) for i in range(1_000, 1_400)], "name string")
+    assert verdicts.filing_candidates(funds, filings).count() == 200 and chosen and not any(chosen)
+
+
 def test_names_meet_at_two_rare_blocks(spark):
     """3,000 names against as many that share one rare block with 60 others each, but nothing else that is rare."""
     ours = spark.createDataFrame([(f"deal {100 + i % 50}{chr(97 + i // 50 % 26)}{i:05d} a series of one firm",) for i in range(3_000)], "shown string")
