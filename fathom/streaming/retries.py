@@ -53,45 +53,75 @@ def _timed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.timestamp_micros(c) for c in ("at", "next_at")})
 
 
+#: Keys are kept together in so many groups, whose number must not change while a checkpoint is in use.  What a group
+#: costs to call is then shared by its keys; a group holds what is open of a GROUPS-th of the keys.
+GROUPS = 4096
+
+
 class Retries(StatefulProcessor):
-    """The state of one key: its run of failures, the try that is set, and outcomes that the watermark hasn't passed."""
+    """The state of a group of keys: their runs of failures, the tries that are set, and outcomes that the watermark hasn't passed.
+
+    Each list is read and written as a whole, once a batch.  A key whose run a good outcome has ended has no state.
+    """
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "failures int, event_id long, next_at long")
-        self.held = handle.getMapState("held", "at long, event_id long", "outcome string")
+        self.runs = handle.getListState("runs", f"key {self.kind}, failures int, event_id long, next_at long")
+        self.held = handle.getListState("held", f"key {self.kind}, at long, event_id long, outcome string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
-            for at, event_id, outcome in zip(frame["micros"].tolist(), frame["event_id"].tolist(), frame["outcome"].tolist()):
-                self.held.updateValue((at, event_id), (outcome,))
-                self.handle.registerTimer(at // 1000)
+            numbers = (None if e is None else int(e) for e in frame["event_id"].tolist())
+            new = list(zip(frame["key"].tolist(), frame["micros"].tolist(), numbers, frame["outcome"].tolist()))
+            if new:
+                self.held.appendList(new)
+                first = min(at for _, at, _, _ in new) if first is None else min(first, min(at for _, at, _, _ in new))
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        ready = sorted((at, event_id, outcome[0]) for (at, event_id), outcome in self.held.iterator() if at // 1000 <= passed)
-        failures, event, next_at = self.run.get() if self.run.exists() else (0, None, None)
+        held = {tuple(row) for row in self.held.get()}
+        ready = sorted((row for row in held if row[1] // 1000 <= passed), key=lambda row: (row[1], row[2] is not None, row[2] or 0, row[3]))
+        runs = {one: (failures, event, next_at) for one, failures, event, next_at in self.runs.get()}
         out: list[tuple] = []
 
-        def ring(before: int | None) -> None:
-            nonlocal next_at
+        def ring(one, before: int | None) -> None:
+            failures, event, next_at = runs[one]
             if next_at is not None and next_at // 1000 <= passed and (before is None or next_at < before):
-                out.append((next_at, event, failures, "due", None))
-                next_at = None
-
-        for at, event_id, outcome in ready:
-            ring(at)
-            self.held.removeKey((at, event_id))
-            failures = 0 if outcome == GOOD else failures + 1
-            event, next_at = event_id, at + SCHEDULE[failures - 1] * _DAY if 0 < failures <= len(SCHEDULE) else None
-            out.append((at, event, failures, "done" if outcome == GOOD else "given_up" if next_at is None else "waiting", next_at))
-        ring(None)
-        if next_at is not None:
-            self.handle.registerTimer(next_at // 1000)
-        self.run.update((failures, event, next_at))
+                out.append((one, next_at, event, failures, "due", None))
+                runs[one] = failures, event, None
+
+        for one, at, event_id, outcome in ready:
+            if one in runs:
+                ring(one, at)
+            if outcome == GOOD:
+                runs.pop(one, None)
+                out.append((one, at, event_id, 0, "done", None))
+                continue
+            failures = runs[one][0] + 1 if one in runs else 1
+            next_at = at + SCHEDULE[failures - 1] * _DAY if failures <= len(SCHEDULE) else None
+            runs[one] = failures, event_id, next_at
+            out.append((one, at, event_id, failures, "given_up" if next_at is None else "waiting", next_at))
+        for one in runs:
+            ring(one, None)
+        later = [row for row in held if row[1] // 1000 > passed]
+        for state, rows in ((self.held, later), (self.runs, [(one, *run) for one, run in runs.items()])):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        times = [row[1] for row in later] + [next_at for _, _, next_at in runs.values() if next_at is not None]
+        if times:
+            self.handle.registerTimer(min(times) // 1000)
         columns = [c.split()[0] for c in _OUT.split(", ")]
-        yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object")} | {c: pd.Series(v, dtype="object" if c == "state" else "Int64") for c, v in zip(columns, zip(*out) if out else [()] * len(columns))})
+        values = list(zip(*out)) if out else [()] * (len(columns) + 1)
+        yield pd.DataFrame({"key": pd.Series(values[0], dtype="object")} | {c: pd.Series(v, dtype="object" if c == "state" else "Int64") for c, v in zip(columns, values[1:])})
 
     def close(self) -> None:
         pass
@@ -103,8 +133,10 @@ def history_stream(outcomes: DataFrame, delay: str = "1 day") -> DataFrame:
     Outcomes older than the watermark are left out.  Needs the RocksDB state store.
     """
     kind = outcomes.schema["key"].dataType.simpleString()
-    rows = outcomes.filter(F.col("outcome").isin(SHORT, GOOD) & F.col("key").isNotNull()).select("key", "at", F.unix_micros("at").alias("micros"), "event_id", "outcome").withWatermark("at", delay)
-    told = rows.groupBy("key").transformWithStateInPandas(Retries(), f"key {kind}, {_OUT}", "Append", "EventTime")
+    # as text, since pandas would make floating numbers of a group's event_ids if one is null
+    number = F.col("event_id").cast("string").alias("event_id")
+    rows = outcomes.filter(F.col("outcome").isin(SHORT, GOOD) & F.col("key").isNotNull()).select("key", "at", F.unix_micros("at").alias("micros"), number, "outcome").withWatermark("at", delay)
+    told = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int")).groupBy("part").transformWithStateInPandas(Retries(kind), f"key {kind}, {_OUT}", "Append", "EventTime")
     return _timed(told)
 
 

@@ -101,6 +101,18 @@ def test_stream_is_the_batch_after_restarts(stream, tmp_path):
     assert stream.run() == got
 
 
+def test_keys_of_one_group_stay_apart(stream, monkeypatch):
+    """All keys in one group, over two runs; outcomes of one event and time both count, and an event may have no number."""
+    monkeypatch.setattr(retries, "GROUPS", 1)
+    rows = sorted(some(7, 150, keys=40, span=60), key=lambda r: r[1]) + [("both", day(58), 900, "short"), ("both", day(58), 900, "good"), ("last", day(200), 901, "short")]
+    stream.add(rows[:80])
+    stream.run()
+    stream.add(rows[80:])
+    assert stream.run() == fold(rows, day(190))
+    stream.add([("none", day(195), None, "short"), ("none", day(196), 2**60 + 1, "short"), ("later", day(300), 902, "short")])
+    assert {r[1:4] for r in stream.run() if r[0] == "none"} == {(day(195), None, 1), (day(196), 2**60 + 1, 2), (day(210), 2**60 + 1, 2)}
+
+
 def test_nothing_is_told_before_the_watermark(stream):
     stream.add([("a", day(0), 1, "short"), ("a", day(5), 2, "good")])
     assert stream.run() == []
