@@ -2,6 +2,7 @@
 
 import pytest
 
+from fathom.plans import issues  # noqa: F401  it registers its queries
 from fathom.plans.catalog import QUERIES
 from fathom.sources import work
 
